@@ -46,32 +46,39 @@ def ascii_fold(text: Column | str) -> Column:
     return F.translate(text_of(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _hex_ngrams(h: Column, least: int, most: int) -> Column:
-    """Byte n-grams of a hex string."""
-    n = (F.length(h) / 2).cast("int")
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once; inside a lambda an outer expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    def of(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.substring(h, i * 2 + 1, F.lit(2 * k)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(k) for k in range(least, most + 1)])
+def _byte_windows(raw: Column, k: int) -> Column:
+    """The windows of k bytes of a binary, as hex; substring of a binary takes constant time, of a string it doesn't."""
+    n = F.octet_length(raw)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.hex(F.substring(raw, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
 
 
 def byte_ngrams(text: Column | str, least: int = 3, most: int = 5) -> Column:
     """Every window of ``least`` to ``most`` bytes of the whole text, spaces included."""
-    return _hex_ngrams(F.hex(F.encode(text_of(text), "UTF-8")), least, most)
+    return let(F.encode(text_of(text), "UTF-8"), lambda raw: F.concat(*[_byte_windows(raw, k) for k in range(least, most + 1)]))
 
 
 def bounded_ngrams(text: Column | str, least: int = 3, most: int = 5) -> Column:
     """Byte n-grams of each word written as <word>; no n-gram crosses a word."""
-    each = F.transform(F.regexp_extract_all(text_of(text), F.lit(BOUNDED_WORD), F.lit(0)), lambda w: _hex_ngrams(F.concat(F.lit("3C"), F.hex(F.encode(w, "UTF-8")), F.lit("3E")), least, most))
-    return F.flatten(each)
+
+    def of(word: Column) -> Column:
+        return let(F.encode(F.concat(F.lit("<"), word, F.lit(">")), "UTF-8"), lambda raw: F.concat(*[_byte_windows(raw, k) for k in range(least, most + 1)]))
+
+    return F.flatten(F.transform(F.regexp_extract_all(text_of(text), F.lit(BOUNDED_WORD), F.lit(0)), of))
+
+
+def _windows(term: Column, k: int) -> Column:
+    n = F.length(term)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(term, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
 def grams_of(term: Column, least: int = 3, most: int = 4) -> Column:
     """Character n-grams inside one (ASCII) term."""
-    n = F.length(term)
-    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(term, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(least, most + 1)]
-    return F.concat(*parts)
+    return F.concat(*[_windows(term, k) for k in range(least, most + 1)])
 
 
 def term_grams(tokens: Column, least: int = 3, most: int = 4) -> Column:

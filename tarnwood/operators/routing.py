@@ -72,7 +72,7 @@ def pool_features(scores: DataFrame, queries: DataFrame, docs: DataFrame, n_term
         F.max_by("score", F.when(F.col("rank") <= 10, F.col("rank"))).alias("s10"),
         F.avg("score").alias("mean"),
         F.var_pop("score").alias("var"),
-        -F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p"))).alias("entropy"),
+        (-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")))).alias("entropy"),
     )
     out = per.join(mean_all, "query_id").join(n_terms.select("query_id", "n_terms"), "query_id").select(
         "query_id",

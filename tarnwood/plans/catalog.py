@@ -1,11 +1,727 @@
-"""The queries of the retrieval operators, with their SQL."""
+"""The queries of the retrieval operators, with their SQL.
+
+Each takes (spark, sf_dir), reads whole tables, and treats every row of
+``benchmark`` as a query over all ``documents``.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwood.functions import text as T
+from tarnwood.functions import vectors as V
+from tarnwood.operators import bpe, dictmatch, embed, evaluate, experiments, feedback, fragments, fusion, geometry, minhash, pmi, pq, rankers, routing, strategies, textrank, topology
+from tarnwood.operators import lexindex as lx
+
+from . import oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Tables:
+    """The tables as the operators want them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.read("documents").select("doc_id", "text")
+
+    @property
+    def asks(self) -> DataFrame:
+        return self.read("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+    @property
+    def words(self) -> DataFrame:
+        return lx.words(self.docs)
+
+    @property
+    def asked(self) -> DataFrame:
+        return lx.query_words(self.asks)
+
+    @property
+    def qrels(self) -> DataFrame:
+        """Documents that contain an item's text word for word."""
+        hit = self.docs.join(self.asks.withColumnRenamed("text", "ask"), F.expr("ask <> '' and contains(text, ask)"))
+        return hit.select("query_id", "doc_id", F.lit(1).alias("relevance"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.read("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
+
+    @property
+    def units(self) -> DataFrame:
+        return self.vectors.where(V.norm(F.col("vec")) > 0).withColumn("vec", V.l2_normalize(F.col("vec")))
+
+    @property
+    def label_pairs(self) -> DataFrame:
+        """Cosines of all pairs of vectors within a label."""
+        u = self.units
+        return u.alias("a").join(u.alias("b"), F.expr("a.label = b.label and a.vec_id < b.vec_id")).select(F.col("a.label").alias("label"), F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), V.dot(F.col("a.vec"), F.col("b.vec")).alias("sim"))
+
+    def score(self, variant: str, p: rankers.Params = rankers.DEFAULT) -> DataFrame:
+        return rankers.score(self.docs, self.asks, variant, p)
+
+    @property
+    def legs(self) -> DataFrame:
+        return fusion.legs(**{v: self.score(v) for v in ("atire", "plus", "bm25l")})
+
+    @property
+    def pooled(self) -> DataFrame:
+        legs = self.legs
+        return fusion.over_pool(legs, fusion.pool_union(legs, 50))
+
+    @property
+    def term_stats(self) -> DataFrame:
+        return lx.build(self.words).stats
+
+    @property
+    def concepts(self) -> DataFrame:
+        return strategies.mine_concepts(self.words)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def best(scores: DataFrame, k: int = 10) -> DataFrame:
+    return rounded(rankers.top(scores, k), "score")
+
+
+# text
+
+
+@query
+def word_tokens(s, d):
+    return Tables(s, d).docs.select("doc_id", F.array_join(T.words("text"), " ").alias("tokens"))
+
+
+def _grams(s, d, make) -> DataFrame:
+    flat = Tables(s, d).docs.select("doc_id", F.explode(make("text")).alias("gram"))
+    return flat.groupBy("gram", "doc_id").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+
+
+@query
+def byte_ngrams(s, d):
+    return _grams(s, d, T.byte_ngrams)
+
+
+@query
+def word_bounded_ngrams(s, d):
+    return _grams(s, d, T.bounded_ngrams)
+
+
+@query
+def lead_tokens(s, d):
+    return Tables(s, d).docs.select("doc_id", T.lead_tokens("text").alias("lead"))
+
+
+@query
+def keyphrases(s, d):
+    return Tables(s, d).docs.select("doc_id", F.array_join(T.keyphrases("text"), " ").alias("phrases"))
+
+
+@query
+def sentence_split(s, d):
+    return Tables(s, d).docs.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+
+
+@query
+def sentence_tokens(s, d):
+    return sentence_split(s, d).select("doc_id", "pos", F.array_join(T.sentence_tokens("sentence"), " ").alias("tokens"))
+
+
+@query
+def ascii_fold(s, d):
+    return Tables(s, d).docs.select("doc_id", F.md5(T.ascii_fold("text")).alias("folded"))
+
+
+@query
+def entities(s, d):
+    return Tables(s, d).docs.select("doc_id", F.array_join(T.entities("text"), " ").alias("entities"))
+
+
+@query
+def aux_fields(s, d):
+    return Tables(s, d).docs.select("doc_id", T.aux_field("text").alias("aux"))
+
+
+# index
+
+
+@query
+def term_stats(s, d):
+    return rounded(Tables(s, d).term_stats, "idf")
+
+
+@query
+def corpus_stats(s, d):
+    return rounded(lx.corpus_stats(Tables(s, d).words.select(F.size("terms").cast("long").alias("dl"))), "avg_dl")
+
+
+@query
+def bigram_ordered(s, d):
+    return lx.build(lx.ordered(Tables(s, d).words)).stats.drop("idf")
+
+
+@query
+def bigram_unordered(s, d):
+    return lx.build(lx.unordered(Tables(s, d).words)).postings.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum("tf").alias("dl"))
+
+
+@query
+def gram_stats_pruned(s, d):
+    return rounded(lx.build(lx.grams(Tables(s, d).words), max_df_ratio=0.5).stats, "idf")
+
+
+# ranking
+
+
+def _ranked(name: str, variant: str) -> None:
+    def run(s, d):
+        return best(Tables(s, d).score(variant))
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _variant in {
+    "bm25_atire": "atire",
+    "bm25_plus": "plus",
+    "bm25_l": "bm25l",
+    "bm25_ltd": "ltd",
+    "dlh13": "dlh13",
+    "pl2": "pl2",
+    "dph": "dph",
+    "dcm": "dcm",
+    "bm25_sab": "sab",
+    "sdm": "sdm",
+    "wsdm": "wsdm",
+    "layered": "layered",
+    "layered_w": "layered_w",
+}.items():
+    _ranked(_name, _variant)
+
+
+@query
+def bm25f_lead(s, d):
+    t = Tables(s, d)
+    return best(strategies.lead_field(t.docs, t.asks))
+
+
+@query
+def recipe_by_avgdl(s, d):
+    return rounded(rankers.recipe_by_length(lx.corpus_stats(Tables(s, d).words.select(F.size("terms").cast("long").alias("dl")))), "avg_dl")
+
+
+# feedback and fusion
+
+
+@query
+def rm1_terms(s, d):
+    t = Tables(s, d)
+    return rounded(feedback.strongest(feedback.relevance_model(t.words, feedback.feedback_docs(t.score("atire")))), "weight")
+
+
+@query
+def rm3(s, d):
+    t = Tables(s, d)
+    return best(feedback.rm3(t.docs, t.asks))
+
+
+@query
+def rm3_explicit(s, d):
+    t = Tables(s, d)
+    return best(feedback.rm3(t.docs, t.asks, feedback=t.qrels.select("query_id", "doc_id", F.lit(1.0).alias("w"))))
+
+
+@query
+def rrf_variants(s, d):
+    return best(fusion.rrf(Tables(s, d).legs))
+
+
+WEIGHTS = {"atire": 0.5, "plus": 0.3, "bm25l": 0.2}
+
+
+@query
+def convex_z(s, d):
+    return best(fusion.convex_z(Tables(s, d).pooled, WEIGHTS))
+
+
+@query
+def minmax_fusion(s, d):
+    return best(fusion.min_max(Tables(s, d).pooled, WEIGHTS))
+
+
+@query
+def combsum(s, d):
+    return best(fusion.comb_sum(Tables(s, d).pooled))
+
+
+@query
+def union_pool(s, d):
+    return fusion.pool_union(Tables(s, d).legs, 50)
+
+
+# routing and strategies
+
+
+@query
+def query_features(s, d):
+    t = Tables(s, d)
+    df = routing.features(t.docs, t.asks)
+    return rounded(df, *[c for c in df.columns if c not in ("query_id", "n_terms")])
+
+
+@query
+def query_features_post(s, d):
+    t = Tables(s, d)
+    df = routing.pool_features(t.score("atire"), t.asks, t.docs, routing.features(t.docs, t.asks), 50, t.score("plus"))
+    return rounded(df, *[c for c in df.columns if c != "query_id"])
+
+
+@query
+def route(s, d):
+    t = Tables(s, d)
+    return routing.choose(routing.features(t.docs, t.asks)).select("query_id", "recipe")
+
+
+@query
+def route_quality(s, d):
+    t = Tables(s, d)
+    return routing.choose_quality(routing.features(t.docs, t.asks)).select("query_id", "quality_recipe")
+
+
+def _best_ten(t: Tables) -> DataFrame:
+    return rankers.top_dense(t.score("atire"), t.asks, t.docs, 10)
+
+
+@query
+def entropy_route(s, d):
+    return routing.route_by_entropy(routing.entropy(_best_ten(Tables(s, d))), ("bm25", "lead", "keyphrase"))
+
+
+@query
+def assess_quality(s, d):
+    return rounded(routing.assess_quality(_best_ten(Tables(s, d))), "quality")
+
+
+@query
+def keyphrase_boost(s, d):
+    t = Tables(s, d)
+    return best(strategies.keyphrase(t.docs, t.asks))
+
+
+@query
+def relation_boost(s, d):
+    t = Tables(s, d)
+    return best(strategies.with_evidence(t.docs, t.asks, t.qrels.select("query_id", "doc_id", F.lit(1.0).alias("w")), 2.0))
+
+
+# mining
+
+
+@query
+def concepts(s, d):
+    return rounded(Tables(s, d).concepts, "pmi", "idf")
+
+
+@query
+def concept_score(s, d):
+    t = Tables(s, d)
+    return best(strategies.concept_scores(t.words, t.asked, t.concepts))
+
+
+@query
+def bm25_concepts(s, d):
+    t = Tables(s, d)
+    return best(strategies.with_concepts(t.docs, t.asks, t.concepts))
+
+
+@query
+def doc_concepts(s, d):
+    t = Tables(s, d)
+    return rounded(strategies.doc_concepts(t.words, t.concepts), "pmi")
+
+
+@query
+def pmi_vocab(s, d):
+    return pmi.vocabulary(Tables(s, d).words)
+
+
+@query
+def pmi_cooc(s, d):
+    t = Tables(s, d)
+    return pmi.cooccurrence(t.words, pmi.vocabulary(t.words))
+
+
+@query
+def ppmi(s, d):
+    return rounded(pmi.ppmi(pmi_cooc(s, d)), "w")
+
+
+@query
+def sparse_signature(s, d):
+    t = Tables(s, d)
+    return rounded(strategies.signatures(t.words, t.term_stats), "weight")
+
+
+@query
+def signature_overlap(s, d):
+    t = Tables(s, d)
+    stats = t.term_stats
+    asked = strategies.signatures(t.asked.withColumnRenamed("query_id", "doc_id"), stats)
+    return rounded(strategies.signature_overlap(asked, strategies.signatures(t.words, stats)), "overlap")
+
+
+@query
+def jaccard_terms(s, d):
+    """The term overlap of queries and the documents that share a term with them."""
+    t = Tables(s, d)
+    size = lambda df, k, n: df.select(k, F.size(F.array_distinct("terms")).alias(n))
+    terms = t.asked.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    common = terms.join(lx.build(t.words, terms).postings, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
+    met = common.join(size(t.asked, "query_id", "a"), "query_id").join(size(t.words, "doc_id", "b"), "doc_id")
+    return met.select("query_id", "doc_id", F.round(F.col("c") / (F.col("a") + F.col("b") - F.col("c")), 6).alias("jaccard"))
+
+
+# vectors and topology
+
+
+@query
+def largest_gap(s, d):
+    return rounded(topology.largest_gap(Tables(s, d).label_pairs, "label"), "scale")
+
+
+@query
+def max_persistence_scale(s, d):
+    return rounded(topology.strongest(Tables(s, d).label_pairs, "label"), "scale")
+
+
+@query
+def phss_deaths(s, d):
+    return topology.deaths(Tables(s, d).label_pairs, "label")
+
+
+@query
+def elbow_scale(s, d):
+    return topology.elbow(phss_deaths(s, d), "label")
+
+
+@query
+def cosine_topk(s, d):
+    u = Tables(s, d).units
+    near = evaluate.exact_dense(u.select(F.col("vec_id").alias("query_id"), "vec"), u.select(F.col("vec_id").alias("doc_id"), "vec"), 11).where("query_id <> doc_id")
+    return best(near.drop("rank"))
+
+
+@query
+def l2_normalize(s, d):
+    return rounded(Tables(s, d).units.select("vec_id", F.posexplode("vec").alias("dim", "x")), "x")
+
+
+@query
+def prefix_normalize(s, d):
+    return rounded(Tables(s, d).vectors.select("vec_id", F.posexplode(V.prefix_normalize(F.col("vec"), 16)).alias("dim", "x")), "x")
+
+
+@query
+def matryoshka_weights(s, d):
+    return rounded(embed.nested_weights(Tables(s, d).vectors), "weight")
+
+
+def _fixed_books(s: SparkSession) -> DataFrame:
+    return pq.table_of(s, np.array([[[math.sin(i * 131 + k * 17 + j * 7) for j in range(8)] for k in range(16)] for i in range(8)]))
+
+
+@query
+def pq_encode_fixed(s, d):
+    return pq.encode(Tables(s, d).vectors, _fixed_books(s), key="vec_id").select("vec_id", F.array_join("code", " ").alias("code"))
+
+
+@query
+def adc_fixed(s, d):
+    v = Tables(s, d).vectors
+    asked = v.where("label = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    return rounded(pq.adc(pq.encode(v, _fixed_books(s), key="vec_id"), pq.lookup(asked, _fixed_books(s)), key="vec_id"), "l2", "ip")
+
+
+@query
+def pq_train(s, d):
+    return pq.train(Tables(s, d).vectors, 8, 16, key="vec_id")
+
+
+@query
+def pq_decode(s, d):
+    v = Tables(s, d).vectors
+    return pq.decode(pq.encode(v, _fixed_books(s), key="vec_id"), _fixed_books(s), key="vec_id")
+
+
+@query
+def cluster_separation(s, d):
+    return rounded(evaluate.cluster_separation(Tables(s, d).vectors), "intra", "inter")
+
+
+# evaluation
+
+
+def _all_scores(t: Tables) -> DataFrame:
+    return rankers.top_dense(t.score("atire"), t.asks, t.docs, 100).drop("rank")
+
+
+@query
+def eval_trec(s, d):
+    t = Tables(s, d)
+    return rounded(evaluate.metrics(_all_scores(t), t.qrels), "ndcg10", "p10", "r10", "r100", "mrr10")
+
+
+@query
+def eval_capped(s, d):
+    t = Tables(s, d)
+    return rounded(evaluate.metrics(_all_scores(t), t.qrels, capped=True), "ndcg10", "p10", "r10", "r100", "mrr10")
+
+
+@query
+def candidate_recall(s, d):
+    t = Tables(s, d)
+    return rounded(evaluate.candidate_recall(rankers.top_dense(t.score("atire"), t.asks, t.docs, 50), t.qrels), "recall")
+
+
+@query
+def union_recall(s, d):
+    t = Tables(s, d)
+    return rounded(evaluate.union_recall(t.legs, t.qrels, 50), "recall")
+
+
+@query
+def spearman(s, d):
+    t = Tables(s, d)
+    return rounded(evaluate.spearman(routing.features(t.docs, t.asks), "scq", "clarity"), "rho")
+
+
+@query
+def latency_summary(s, d):
+    return rounded(evaluate.latency_summary(Tables(s, d).read("conversations").where("text is not null").select("role", F.octet_length("text").alias("n")), "n", "role"), "mean")
+
+
+# sketches and encoders
+
+
+def _sketch_features(t: Tables) -> DataFrame:
+    from tarnwood.operators import hashed
+
+    return hashed.gram_hashes(t.docs)
+
+
+@query
+def splitmix_sketch(s, d):
+    from tarnwood.operators import hashed
+
+    return hashed.sketch(_sketch_features(Tables(s, d)), 4096)
+
+
+@query
+def idf_buckets(s, d):
+    from tarnwood.operators import hashed
+
+    return hashed.bucket_weights(Tables(s, d).docs, 65_536)
+
+
+@query
+def minhash_min_per_bin(s, d):
+    from tarnwood.operators import hashed
+
+    return hashed.bin_minima(_sketch_features(Tables(s, d)), 256)
+
+
+@query
+def minhash_signatures(s, d):
+    return minhash.signatures(Tables(s, d).docs)
+
+
+@query
+def minhash_estimates(s, d):
+    t = Tables(s, d)
+    a = minhash.signatures(t.asks, key="query_id").withColumnRenamed("signature", "a")
+    b = minhash.signatures(t.docs).withColumnRenamed("signature", "b")
+    return t.qrels.join(a, "query_id").join(b, "doc_id").select("query_id", "doc_id", minhash.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
+
+
+@query
+def encode_v1(s, d):
+    return embed.encode(Tables(s, d).docs)
+
+
+@query
+def encode_compact(s, d):
+    return embed.encode(Tables(s, d).docs, embed.COMPACT)
+
+
+@query
+def encode_hashed_idf(s, d):
+    docs = Tables(s, d).docs
+    idf = embed.learn_idf(docs)
+    return embed.encode(docs, embed.with_idf(idf), idf)
+
+
+def _projected(mode: str) -> None:
+    def run(s, d):
+        return embed.encode(Tables(s, d).docs, embed.EncoderConfig(projection=mode, sketch_dim=1024, output_dim=128))
+
+    run.__name__ = f"project_{mode}"
+    query(run)
+
+
+for _mode in ("gaussian", "very_sparse", "sparse_jl", "fwht"):
+    _projected(_mode)
+
+
+@query
+def xxhash_sketch(s, d):
+    return embed.builtin_sketch(Tables(s, d).docs)
+
+
+@query
+def pmi_vectors(s, d):
+    return pmi.vectors(Tables(s, d).words, rank=64)
+
+
+@query
+def pmi_doc_vectors(s, d):
+    w = Tables(s, d).words
+    return pmi.doc_vectors(w, pmi.vectors(w, rank=32))
+
+
+@query
+def pmi_tempered(s, d):
+    return pmi.temper(pmi.vectors(Tables(s, d).words, rank=32))
+
+
+@query
+def bpe_learn(s, d):
+    return bpe.learn(Tables(s, d).docs, 400)
+
+
+@query
+def bpe_apply(s, d):
+    docs = Tables(s, d).docs
+    pieces = bpe.subwords(docs, bpe.learn(docs, 400))
+    return pieces.groupBy("doc_id").agg(F.sum(F.size("pieces")).alias("n_pieces"), F.count("*").alias("n_words"))
+
+
+@query
+def text_rank(s, d):
+    return textrank.rank_docs(Tables(s, d).docs)
+
+
+@query
+def textrank_lead(s, d):
+    return textrank.lead_agreement(Tables(s, d).docs)
+
+
+@query
+def dict_match(s, d):
+    t = Tables(s, d)
+    return dictmatch.match_docs(t.docs, t.asks.select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern")))
+
+
+@query
+def dict_match_words(s, d):
+    t = Tables(s, d)
+    return dictmatch.word_dictionary(t.docs, t.asks.select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern")))
+
+
+# fragments and geometry
+
+_SMALL = embed.EncoderConfig(features="both", bounded=True, fold=True, sketch_dim=1024, output_dim=128, projection="fwht")
+
+
+def _built(name: str) -> None:
+    def run(s, d):
+        t = Tables(s, d)
+        return fragments.build(t.docs, t.term_stats, _SMALL, name)
+
+    run.__name__ = f"fragments_{name}"
+    query(run)
+
+
+for _builder in fragments.BUILDERS:
+    _built(_builder)
+
+
+def _reranked(name: str, config: geometry.GeometryConfig) -> None:
+    def run(s, d):
+        t = Tables(s, d)
+        frags = fragments.build(t.docs, t.term_stats, _SMALL)
+        vectors = embed.encode(t.asks, _SMALL, key="query_id")
+        dense = embed.encode(t.docs, _SMALL) if config.dense_pool else None
+        return best(geometry.rerank(t.score("atire"), t.asks, t.docs, vectors, frags, config, dense))
+
+    run.__name__ = f"geometry_{name}"
+    query(run)
+
+
+for _name, _config in {
+    "default": geometry.GeometryConfig(),
+    "csls": geometry.GeometryConfig(csls_k=8),
+    "knn": geometry.GeometryConfig(use_scale=False),
+    "adaptive": geometry.GeometryConfig(adaptive=True),
+    "max_sim": geometry.GeometryConfig(outer="max"),
+    "soft_max": geometry.GeometryConfig(outer="soft_max"),
+    "dense_pool": geometry.GeometryConfig(dense_pool=20),
+}.items():
+    _reranked(_name, _config)
+
+
+@query
+def doc_topology(s, d):
+    t = Tables(s, d)
+    return geometry.doc_topology(fragments.build(t.docs, t.term_stats, _SMALL, "rich"))
+
+
+@query
+def fusion_six_leg(s, d):
+    t = Tables(s, d)
+    return best(experiments.six_leg_fusion(t.docs, t.asks, _SMALL))
+
+
+@query
+def coordinate_calibrated(s, d):
+    t = Tables(s, d)
+    return best(experiments.coordinate_search(embed.encode(t.asks, _SMALL, key="query_id"), embed.encode(t.docs, _SMALL), prefix=32, mode="blend"))
+
+
+@query
+def coordinate_stats(s, d):
+    return experiments.coordinate_statistics(Tables(s, d).vectors.select("vec_id", "vec"))
+
+
+@query
+def family_atlas(s, d):
+    t = Tables(s, d)
+    return best(experiments.family_atlas(t.docs, t.asks))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
 
-def queries() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.statements().items() if k in QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["Tables", "oracle_sql", "queries"]

@@ -24,7 +24,7 @@ def _quoted(words) -> str:
 
 
 def _top(source: str, k: int, by: str = "query_id") -> str:
-    return f"select * from (select *, row_number() over (partition by {by} order by round(score, 8) desc, doc_id) as rank from {source}) where rank <= {k}"
+    return f"select * from (select *, (row_number() over (partition by {by} order by round(score, 8) desc, doc_id))::int as rank from {source}) where rank <= {k}"
 
 
 def _scored(expr: str, source: str = "m") -> str:
@@ -127,7 +127,7 @@ CTE: dict[str, str] = {
     "kp": f"select query_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]{{2,}}'), lambda x: lower(x)), lambda x: x not in ({_quoted(KEYPHRASE_STOPWORDS)})))) as k from asks",
     "kph": "select query_id, doc_id, count(*) as hits from (select query_id, unnest(k) as term from kp) join p using (term) group by all",
     "kps": "select query_id, avg(score) as mu, stddev_pop(score) as sd from full_atire group by query_id",
-    "boosted": "select a.query_id, a.doc_id, case when entropy < 0.3 or len(k) = 0 then score else (score - mu) / (sd + 1e-12) + 1 / (1 + exp(-(entropy - 0.48) * 8)) * 0.3::double * coalesce(hits, 0) / len(k) end as score from atire a left join kph using (query_id, doc_id) join kps using (query_id) join ent using (query_id) join kp using (query_id)",
+    "boosted": "select a.query_id, a.doc_id, case when entropy < 0.3 or len(k) = 0 then score else (score - mu) / (sd + 1e-12) + 1 / (1 + exp(-(entropy - 0.48) * 8)) * 0.3::double * coalesce(hits, 0) / len(k) end as score from atire a left join kph using (query_id, doc_id) join kps using (query_id) join (select query_id, entropy from ent) using (query_id) join kp using (query_id)",
     "qlead": f"select query_id, term, count(*) as qtf from (select query_id, unnest({WORDS.format(LEAD)}) as term from asks) group by all",
     "related": f"select query_id, doc_id, sum(score) as score from (select query_id, doc_id, 0.85::double * score as score from atire union all select query_id, doc_id, 0.15::double * qtf * {ATIRE} from qlead join ats using (term) join ap using (term) join adl using (doc_id), acs union all select query_id, doc_id, 2.0::double from qrels) group by all",
     "obs": f"select term, split_part(term, ' ', 1) as a, split_part(term, ' ', 2) as b, count(*) as df, sum(tf)::bigint as ttf, {IDF} as idf from ob, cs group by term",
@@ -155,6 +155,9 @@ CTE: dict[str, str] = {
     "nrel": "select query_id, count(*) as n_rel, sum(case when r <= 10 then 1.0::double / log2(r + 1) end) as ideal from (select query_id, row_number() over (partition by query_id order by doc_id) as r from qrels) group by query_id",
     "hit": "select r.query_id, r.rank from ranked r join qrels using (query_id, doc_id)",
     "perq": "select query_id, n_rel, ideal, coalesce(sum(case when rank <= 10 then 1.0::double / log2(rank + 1) end), 0) as dcg, count(case when rank <= 10 then 1 end) as h10, count(rank) as h100, min(case when rank <= 10 then rank end) as first from nrel left join hit using (query_id) group by all",
+    "byts": "select doc_id, unnest(b) as x, generate_subscripts(b, 1) as i from (select doc_id, regexp_extract_all(hex(encode(text)), '..') as b from docs)",
+    "wins": "select doc_id, x || lead(x) over w || lead(x, 2) over w as g3, x || lead(x) over w || lead(x, 2) over w || lead(x, 3) over w as g4, x || lead(x) over w || lead(x, 2) over w || lead(x, 3) over w || lead(x, 4) over w as g5 from byts window w as (partition by doc_id order by i)",
+    "bgrams": "select doc_id, g3 as gram, 3 as k from wins where g3 is not null union all select doc_id, g4, 4 from wins where g4 is not null union all select doc_id, g5, 5 from wins where g5 is not null",
     "dt": "select doc_id, list_distinct(t) as t from w",
 }
 
@@ -188,14 +191,14 @@ def statements() -> dict[str, str]:
     r = lambda *names: ", ".join(f"round({n}, 6) as {n}" for n in names)
     metric = lambda a, b: with_(f"select query_id, round(dcg / ideal, 6) as ndcg10, h10 / 10 as p10, round(h10 / {a}, 6) as r10, round(h100 / {b}, 6) as r100, round(coalesce(1 / first, 0), 6) as mrr10 from perq")
     grams = "select gram, count(distinct doc_id) as docs, count(*) as n from ({}) group by gram"
-    hexed = "substr(h, (2 * i + 1)::bigint, (2 * k)::bigint)"
+    hexed = "array_to_string(h[i + 1 : i + k], '')"
     plain = {
         "word_tokens": "select doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9_]+'), ' ') as tokens from docs",
-        "byte_ngrams": grams.format(f"select doc_id, {hexed} as gram from (select doc_id, hex(encode(text)) as h from docs), (values (3), (4), (5)) v(k), unnest(range(0, (length(h) // 2 - k + 1)::bigint)) z(i)"),
-        "word_bounded_ngrams": grams.format(f"select doc_id, {hexed} as gram from (select doc_id, '3C' || hex(encode(x)) || '3E' as h from (select doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z_\\x{{80}}-\\x{{10FFFF}}]+')) as x from docs)), (values (3), (4), (5)) v(k), unnest(range(0, (length(h) // 2 - k + 1)::bigint)) z(i)"),
+        "byte_ngrams": grams.format("select doc_id, gram from bgrams"),
+        "word_bounded_ngrams": grams.format(f"select doc_id, {hexed} as gram from (select doc_id, regexp_extract_all('3C' || hex(encode(x)) || '3E', '..') as h from (select doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z_\\x{{80}}-\\x{{10FFFF}}]+')) as x from docs)), (values (3), (4), (5)) v(k), unnest(range(0, (len(h) - k + 1)::bigint)) z(i)"),
         "lead_tokens": f"select doc_id, {LEAD} as lead from docs",
         "keyphrases": f"select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]{{2,}}'), lambda x: lower(x)), lambda x: x not in ({_quoted(KEYPHRASE_STOPWORDS)})))), ' ') as phrases from docs",
-        "sentence_split": f"select doc_id, i - 1 as pos, s[i] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {_SENT} as s from docs))",
+        "sentence_split": f"select doc_id, (i - 1)::int as pos, s[i] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {_SENT} as s from docs))",
         "ascii_fold": f"select doc_id, md5({_FOLD.format('text')}) as folded from docs",
         "entities": f"select doc_id, array_to_string(list_slice(list_filter(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r.,;:!?()\"]+'), lambda x: (strlen(x) >= 5 and regexp_matches(x, '{_SUFFIX}')) or (strlen(x) >= 2 and regexp_full_match(x, '[^a-z]*[A-Z][^a-z]*')) or regexp_matches(x, '^[0-9]+[A-Za-z%]')), 1, 32), ' ') as entities from docs",
         "term_stats": f"select term, df, ttf, {r('idf')} from ts",
@@ -221,9 +224,9 @@ def statements() -> dict[str, str]:
         "largest_gap": "select label, round(coalesce((arg_max(sim, [round(sim - nxt, 12), -rn]) + arg_max(nxt, [round(sim - nxt, 12), -rn])) / 2, max(sim)), 6) as scale from gaps where nxt is not null group by label",
         "max_persistence_scale": "select label, round(max(sim), 6) as scale from prs group by label",
         "cosine_topk": with_("") + f"select query_id, rank, doc_id, round(score, 6) as score from ({_top('near10', 10)})",
-        "l2_normalize": "select vec_id, i - 1 as dim, round(e[i], 6) as x from (select vec_id, e, unnest(range(1, len(e) + 1)) as i from u)",
-        "prefix_normalize": "select vec_id, i - 1 as dim, round(case when s > 0 then e[i] / s else 0 end, 6) as x from (select vec_id, e, sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))) as s, unnest(range(1, 17)) as i from v)",
-        "matryoshka_weights": "select dim, round(sd / avg(sd) over (), 6) as weight from (select i - 1 as dim, stddev_pop(e[i]) as sd from (select e, unnest(range(1, len(e) + 1)) as i from v) group by i)",
+        "l2_normalize": "select vec_id, (i - 1)::int as dim, round(e[i], 6) as x from (select vec_id, e, unnest(range(1, len(e) + 1)) as i from u)",
+        "prefix_normalize": "select vec_id, (i - 1)::int as dim, round(case when s > 0 then e[i] / s else 0 end, 6) as x from (select vec_id, e, sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))) as s, unnest(range(1, 17)) as i from v)",
+        "matryoshka_weights": "select dim, round(sd / avg(sd) over (), 6) as weight from (select (i - 1)::int as dim, stddev_pop(e[i]) as sd from (select e, unnest(range(1, len(e) + 1)) as i from v) group by i)",
         "pq_encode_fixed": "select vec_id, array_to_string(list(ki order by mi), ' ') as code from codes group by vec_id",
         "adc_fixed": "select q.vec_id as query_id, c.vec_id, round(sum(list_sum(list_transform(list_zip(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as l2, round(sum(list_dot_product(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c)), 6) as ip from v q, codes c join books b on b.mi = c.mi and b.ki = c.ki where q.label = 0 group by q.vec_id, c.vec_id",
         "cluster_separation": "select a.label, count(distinct a.vec_id) as n, round(avg(case when a.label = b.label and a.vec_id <> b.vec_id then list_dot_product(a.e, b.e) end), 6) as intra, round(avg(case when a.label <> b.label then list_dot_product(a.e, b.e) end), 6) as inter from u a, u b group by a.label",
@@ -236,7 +239,7 @@ def statements() -> dict[str, str]:
     }
     out |= {k: with_(v) for k, v in plain.items()}
     out["sentence_tokens"] = with_(
-        f"select doc_id, i - 1 as pos, array_to_string(list_slice(x, 1, 60), ' ') as tokens from (select doc_id, i, list_transform(list_filter(range(1, len(y) + 1), lambda k: list_position(y, y[k]) = k), lambda k: y[k]) as x from (select doc_id, i, list_filter(list_transform(regexp_extract_all(s[i], '[0-9A-Za-z_''\\-\\x{{80}}-\\x{{10FFFF}}]+'), lambda q: {_FOLD.format('q')}), lambda q: strlen(q) >= 2) as y from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {_SENT} as s from docs))))"
+        f"select doc_id, (i - 1)::int as pos, array_to_string(list_slice(x, 1, 60), ' ') as tokens from (select doc_id, i, list_transform(list_filter(range(1, len(y) + 1), lambda k: list_position(y, y[k]) = k), lambda k: y[k]) as x from (select doc_id, i, list_filter(list_transform(regexp_extract_all(s[i], '[0-9A-Za-z_''\\-\\x{{80}}-\\x{{10FFFF}}]+'), lambda q: {_FOLD.format('q')}), lambda q: strlen(q) >= 2) as y from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {_SENT} as s from docs))))"
     )
     out["eval_trec"], out["eval_capped"] = metric("n_rel", "n_rel"), metric("least(10, n_rel)", "least(100, n_rel)")
     out["cosine_topk"] = ranking("near10")
@@ -248,11 +251,11 @@ def statements() -> dict[str, str]:
     init = int(mix(GOLDEN ^ mix(0) ^ mix(0)))
     byte = lambda i: f"(case when k > {i} then (('0x' || substr(gram, {2 * i + 1}, 2))::ubigint << {8 * i}) else 0 end)"
     value = " + ".join(byte(i) for i in range(5))
-    feats = f"select doc_id, gram, k, ({value})::ubigint as val from (select doc_id, {hexed} as gram, k from (select doc_id, hex(encode(text)) as h from docs), (values (3), (4), (5)) v(k), unnest(range(0, (length(h) // 2 - k + 1)::bigint)) z(i))"
+    feats = f"select doc_id, gram, k, ({value})::ubigint as val from bgrams"
     one = mixed.format(t=two64, src=seed0.format(init=init))
     two = mixed.format(t=two64, src=f"select doc_id, gram, xor(h, (length(gram) // 2)::ubigint) as z0 from hashed1")
     head = f"feats as ({feats}), hashed1 as ({one}), hashed as ({two})"
-    base = with_("select 1 from docs").rsplit("\n", 1)[0]
+    base = with_("select 1 from docs, bgrams").rsplit("\n", 1)[0]
     out["splitmix_sketch"] = f"{base}, {head} select doc_id, ((h % 4294967296) % 4096)::bigint as bucket, sum(case when h >= 9223372036854775808 then -2 else 2 end)::bigint as value from hashed group by all having sum(case when h >= 9223372036854775808 then -2 else 2 end) <> 0"
     out["idf_buckets"] = f"{base}, {head} select b::bigint as bucket, coalesce(df, 0)::bigint as df, greatest(0, least(65535, floor(1024 * ln(((select count(*) from docs) + 1) / (coalesce(df, 0) + 0.5::double)) + 0.5)))::bigint as w_q10 from range(0, 65536) r(b) left join (select (h % 65536)::bigint as b, count(distinct doc_id) as df from hashed group by all) using (b)"
     out["minhash_min_per_bin"] = f"{base}, {head} select doc_id, (h % 256)::bigint as bin, min(h // 4294967296)::bigint as least from hashed group by all"
