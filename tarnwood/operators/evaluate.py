@@ -111,7 +111,6 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def latency_summary(times: DataFrame, value: str = "us", by: str = "variant") -> DataFrame:
     """(by, mean, p50, p95): nearest-rank percentiles, the values at rank ceil(p * n)."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = times.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    at = lambda p: F.max(F.when(F.col("rn") == F.ceil(F.col("n") * p), F.col(value)))
+    r = times.withColumns({"__rn": F.row_number().over(Window.partitionBy(by).orderBy(value)), "__n": F.count("*").over(Window.partitionBy(by))})
+    at = lambda p: F.max(F.when(F.col("__rn") == F.ceil(F.col("__n") * p), F.col(value)))
     return r.groupBy(by).agg(F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))

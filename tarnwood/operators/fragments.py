@@ -110,7 +110,7 @@ def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed
         group = group.sort_values("place")
         doc, rows = group[group.kind == "document"].iloc[0], group[group.kind == "sentence"]
         norm = lambda v: float(np.sqrt((np.asarray(v, float) ** 2).sum()))
-        rows = rows[[norm(v) > 0 for v in rows.vec]]
+        rows = rows[np.array([norm(v) > 0 for v in rows.vec], bool)]
         found = [("sentence", np.asarray(v, float), dict(s)) for v, s in zip(rows.vec, rows.sig)]
         anchors = 0
         if builder != "basic" or not found:

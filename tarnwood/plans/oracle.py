@@ -235,7 +235,7 @@ def statements() -> dict[str, str]:
         "union_pool": "select query_id, doc_id from pool",
         "jaccard_terms": "select query_id, doc_id, round(c / (len(qd.t) + len(dt.t) - c), 6) as jaccard from (select query_id, doc_id, count(*) as c from qt join p using (term) group by all) join dt using (doc_id) join (select query_id, list_distinct(t) as t from qw) qd using (query_id)",
         "spearman": "select round(corr(ra, rb), 6) as rho, count(*) as n from (select rank() over (order by scq) + (count(*) over (partition by scq) - 1) / 2 as ra, rank() over (order by clarity) + (count(*) over (partition by clarity) - 1) / 2 as rb from features)",
-        "latency_summary": "select role, round(avg(n), 6) as mean, max(case when rn = ceil(c * 0.5) then n end) as p50, max(case when rn = ceil(c * 0.95) then n end) as p95 from (select role, strlen(text) as n, row_number() over (partition by role order by strlen(text)) as rn, count(*) over (partition by role) as c from conversations where text is not null) group by role",
+        "latency_summary": "select role, round(avg(n), 6) as mean, max(case when rn = ceil(c * 0.5) then n end)::int as p50, max(case when rn = ceil(c * 0.95) then n end)::int as p95 from (select role, strlen(text) as n, row_number() over (partition by role order by strlen(text)) as rn, count(*) over (partition by role) as c from conversations where text is not null) group by role",
     }
     out |= {k: with_(v) for k, v in plain.items()}
     out["sentence_tokens"] = with_(
