@@ -26,7 +26,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: About so many bytes of text are worked on at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         for k, base in enumerate((_R, _RINV)):
-            p = np.full(max(n, SLICE + (SLICE >> 2)), base, U)
+            p = np.full(max(n, SLICE >> 2), base, U)
             p[0] = 1
             _POW[k] = np.multiply.accumulate(p)
     return _POW[0], _POW[1]
@@ -95,11 +95,24 @@ def runs(kinds: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, by prefix sums of a polynomial modulo 2**64."""
-    power, inverse = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * power[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+    """64-bit hashes of byte ranges, which don't overlap and rise, by prefix sums of a polynomial modulo 2**64.
+
+    Sums are taken over runs of ranges of a quarter of a slice each, so a very
+    long text needs no more memory than others.
+    """
+    out = np.empty(len(starts), U)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (SLICE >> 2), side="right")))
+        base = starts[lo]
+        part = buf[base : ends[hi - 1]]
+        power, inverse = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum((part.astype(U) + U(1)) * power[: len(part)], out=sums[1:])
+        a, e = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = mix((sums[e] - sums[a]) * inverse[a] + (e - a).astype(U))
+        lo = hi
+    return out
 
 
 def words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
