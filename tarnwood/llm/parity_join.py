@@ -27,7 +27,9 @@ from . import textvec as tv
 from .graph import components
 from .runtime import Scratch, prepare
 
-THRESHOLD, NGRAM, SAMPLE, BLOCKS = 0.55, 3, 128, 64
+THRESHOLD, NGRAM, SAMPLE, BLOCKS, BITS = 0.55, 3, 128, 64, 1024
+#: Bits of the filter of ids, at most: 32 MB.
+FILTER_BITS = 1 << 28
 U = np.uint64
 
 
@@ -37,12 +39,12 @@ def blocks_of(level: int, threshold: float, sample: int = SAMPLE, most: int = BL
     return max(1, min(most, top + 1))
 
 
-def block_keys(sets: np.ndarray, first: np.ndarray, threshold: float, sample: int = SAMPLE, most: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, key) of every block that is joined on: a set of size s is in band floor(log2(s / sample)) and in the next one."""
+def block_keys(sets: np.ndarray, first: np.ndarray, threshold: float, sample: int = SAMPLE, most: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, key, band) of every block that is joined on: a set of size s is in band floor(log2(s / sample)) and in the next one."""
     size = np.diff(first)
     doc = np.repeat(np.arange(len(size)), size)
-    level = np.floor(np.log2(np.maximum(size, 1) / sample)).astype(np.int64)
-    docs, keys = [], []
+    level = level_of(size, sample)
+    docs, keys, bands = [], [], []
     spread, place = tv.mix(sets ^ U(0x51ED270B)), tv.mix(sets ^ U(0x2545F491))
     for step in (0, 1):
         # a set of size s meets, in the next band up, sets of s / t tokens at most
@@ -69,24 +71,38 @@ def block_keys(sets: np.ndarray, first: np.ndarray, threshold: float, sample: in
         band_block = tv.mix((g + 64).astype(U) * U(most) + (code[at] % most).astype(U))
         docs.append((code[at] // most)[enough])
         keys.append(tv.mix(xor ^ band_block)[enough])
+        bands.append(g[enough])
     if not docs:
-        return np.empty(0, np.int64), np.empty(0, U)
-    d, k = np.concatenate(docs), np.concatenate(keys)
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.int64)
+    d, k, g = np.concatenate(docs), np.concatenate(keys), np.concatenate(bands)
     order = np.argsort(d, kind="stable")
-    return d[order], k[order]
+    return d[order], k[order], g[order]
 
 
-def bit_sketch(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """256-bit parity sketches, four words each: every token flips one bit."""
+def sampled(sets: np.ndarray, size: np.ndarray, step: int, sample: int = SAMPLE) -> np.ndarray:
+    """Which tokens of each set belong to the hash sample of its band, or of the next one: all of them in bands of small sets."""
+    doc = np.repeat(np.arange(len(size)), size)
+    band = level_of(size, sample)[doc] + step
+    return (tv.mix(sets ^ U(0x51ED270B)) >> U(11)) < np.ldexp(1.0, 53 - np.maximum(band, 0)).astype(U)
+
+
+def level_of(size: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(size, 1) / sample)).astype(np.int64)
+
+
+def bit_sketch(sets: np.ndarray, first: np.ndarray, keep: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sketch) of each set's chosen tokens: parity sketches of ``bits`` bits, of which every token flips one."""
     n = len(first) - 1
-    bit = (sets >> U(7)) & U(255)
-    cell = np.repeat(np.arange(n), np.diff(first)) * 256 + bit.astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 4, 64)
-    return np.packbits(odd, axis=2, bitorder="little").reshape(n, 32).view(np.int64)
+    doc = np.repeat(np.arange(n), np.diff(first))[keep]
+    cell, times = np.unique(doc * bits + ((sets[keep] >> U(7)) % U(bits)).astype(np.int64), return_counts=True)
+    cell = cell[times % 2 == 1]
+    out = np.zeros(n * (bits // 64), U)
+    np.bitwise_or.at(out, cell >> 6, U(1) << (cell & 63).astype(U))
+    return np.bincount(doc, minlength=n), out.view(np.int64).reshape(n, -1)
 
 
 def _keys(n: int, threshold: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int32()), ("level", pa.int32()), ("own", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -96,40 +112,102 @@ def _keys(n: int, threshold: float):
                 size = np.diff(at)
                 edges = np.r_[U(0), np.cumsum(sets)]
                 more = np.r_[U(0), np.cumsum(tv.mix(sets))]
-                doc, keys = block_keys(sets, at, threshold)
+                doc, keys, band = block_keys(sets, at, threshold)
+                level = level_of(size)
+                own = np.bincount(doc[band == level[doc]], minlength=len(size))  # keys of the own band come first
                 lists = tv.lists(keys.view(np.int64), np.searchsorted(doc, np.arange(len(size) + 1)), pa.int64())
                 sums = [(e[at[1:]] - e[at[:-1]]).view(np.int64) for e in (edges, more)]
                 live = pa.array(size > 0)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(size.astype(np.int32)), lists], schema=schema).filter(live)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sums[0]), pa.array(sums[1]), *(pa.array(x.astype(np.int32)) for x in (size, level, own)), lists], schema=schema).filter(live)
 
     return run
 
 
-def _sets(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SETS = "doc_id long, level int, n0 int, n1 int, s0 array<long>, s1 array<long>, tokens array<long>"
+
+
+def _sets(n: int, wanted=None):
+    """Sets with their sketches, of the documents whose ids may be ``wanted``, a shared bitmap of their hashes."""
+    names = ["doc_id", "level", "n0", "n1", "s0", "s1", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            if wanted is not None and wanted.value is not None:
+                bits = wanted.value
+                h = tv.mix(whole.column("doc_id").to_numpy(zero_copy_only=False).view(U)) % U(len(bits) * 8)
+                whole = whole.filter(pa.array((bits[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1))
+            if not whole.num_rows:
+                continue
             for b in tv.slices(whole):
                 *_, first, h = tv.words(b.column("text"))
                 sets, at = tv.shingles(h, first, n)
-                sketch = bit_sketch(sets, at)
-                bits = tv.lists(sketch.reshape(-1), np.arange(len(at)) * 4, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), tv.lists(sets.view(np.int64), at, pa.int64()), bits], schema=schema)
+                size = np.diff(at)
+                (n0, s0), (n1, s1) = (bit_sketch(sets, at, sampled(sets, size, step)) for step in (0, 1))
+                wide = np.arange(len(at)) * s0.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), *(pa.array(x.astype(np.int32)) for x in (level_of(size), n0, n1)), *(tv.lists(x.reshape(-1), wide, pa.int64()) for x in (s0, s1)), tv.lists(sets.view(np.int64), at, pa.int64())],
+                    names=names,
+                )
 
     return run
 
 
+def id_filter(ids: DataFrame, most: int = FILTER_BITS) -> np.ndarray | None:
+    """A bitmap of the hashes of the ids, 16 bits an id; None, which lets all pass, where that is more than ``most`` bits."""
+    n = ids.count()
+    size = 1 << max(13, math.ceil(math.log2(16 * max(n, 1))))
+    if size > most:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = tv.mix(b.column(0).to_numpy().view(U)) % U(size)
+            # one row a byte that isn't 0; equal bytes are put together by the aggregation
+            at = (h >> U(3)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 12), pa.array(h.astype(np.int64) & 0x7FFF)], names=["part", "bit"])
+
+    parts = ids.mapInArrow(run, "part long, bit long").groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    out = np.zeros(max(size // 8, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out[: size // 8]
+
+
+def within(na, nb, sa, sb, band, threshold: float):
+    """Whether two sketches of a band don't rule a pair out.
+
+    The Hamming distance of two sketches is never above the difference of the
+    tokens in them. These are whole sets in bands of small sets, where the bound
+    is exact; in others they are samples, and four deviations are allowed.
+    """
+    far = sum((F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(1, BITS // 64)), F.bit_count(sa[0].bitwiseXOR(sb[0])))
+    n = na + nb
+    union = (n + far) / 2
+    exact = far <= F.floor(F.lit((1 - threshold) / (1 + threshold)) * n + 1e-9)
+    return F.when(band <= 0, exact).otherwise(far <= F.lit(1 - threshold) * union + 2 * F.sqrt(union) + 1)
+
+
+def sketched(rows: DataFrame, sets: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows with the count ``n`` and the sketch ``s`` of their document in their band."""
+    own = sets.select(F.col("doc_id").alias(key), F.col("level").alias("__l"), "n0", "n1", "s0", "s1")
+    first = F.col("band") == F.col("__l")
+    met = rows.join(own, key)
+    return met.select(*rows.columns, F.when(first, F.col("n0")).otherwise(F.col("n1")).alias("n"), F.when(first, F.col("s0")).otherwise(F.col("s1")).alias("s"))
+
+
+def pruned(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, band) that their sketches don't rule out, as (a, b)."""
+    met = sketched(pairs, sets, "a").withColumnsRenamed({"n": "na", "s": "sa"})
+    met = sketched(met, sets, "b")
+    return met.where(within(F.col("na"), F.col("n"), F.col("sa"), F.col("s"), F.col("band"), threshold)).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"), F.col("bits").alias("ba"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"), F.col("bits").alias("bb"))
-    total = F.size("ta") + F.size("tb")
-    far = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    within = far <= F.floor(F.lit((1 - threshold) / (1 + threshold)) * total + 1e-9)
+    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    holds = F.when(within, common >= F.lit(threshold) * (total - common) - 1e-9).otherwise(False)
-    return pairs.join(left, "a").join(right, "b").where(holds).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common) - 1e-9).select("a", "b")
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
@@ -152,31 +230,38 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -
     spark: SparkSession = prepare(docs.sparkSession)
     scratch = Scratch(spark, "parity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    raw = docs.mapInArrow(_keys(n, threshold), "doc_id long, f1 long, f2 long, size int, keys array<long>")
+    raw = docs.mapInArrow(_keys(n, threshold), "doc_id long, f1 long, f2 long, size int, level int, own int, keys array<long>")
     same = Window.partitionBy("f1", "f2", "size").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     raw = raw.withColumn("rep", F.first("doc_id").over(same))
-    table = scratch.keep(raw.select("doc_id", "rep", "size", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "keys")
-    exploded = table.where("doc_id = rep and keys is not null").select("doc_id", "size", F.explode("keys").alias("key"))
+    table = scratch.keep(raw.select("doc_id", "rep", "size", "level", "own", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "keys")
+    exploded = table.where("doc_id = rep and keys is not null").select("doc_id", "size", "level", "own", F.posexplode("keys").alias("at", "key"))
+    exploded = exploded.select("doc_id", "size", F.when(F.col("at") < F.col("own"), F.col("level")).otherwise(F.col("level") + 1).alias("band"), "key")
     bucket = Window.partitionBy("key").orderBy("doc_id")
     cells = exploded.withColumns({"head": F.first("doc_id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("doc_id").over(bucket), "head_size": F.first("size").over(bucket.rowsBetween(Window.unboundedPreceding, 0))})
     cells = cells.where("head <> doc_id or next <> doc_id")
-    members = scratch.keep(cells.select("key", "doc_id", "size", "head", "head_size"), "members")
-    ids = members.select("doc_id").distinct()
-    sets = scratch.keep(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, tokens array<long>, bits array<long>"), "sets")
+    members = scratch.keep(cells.select("key", "band", "doc_id", "size", "head", "head_size"), "members")
+    ids = scratch.keep(members.select("doc_id").distinct(), "ids")
+    wanted = spark.sparkContext.broadcast(id_filter(ids))
+    # the bitmap lets nearly only members through, so few sets are moved to the exact join
+    sets = scratch.keep(docs.mapInArrow(_sets(n, wanted), SETS).join(ids, "doc_id", "left_semi"), "sets")
     fits = f"least(size, head_size) >= {threshold} * greatest(size, head_size) - 1e-9"
-    first = members.where(f"doc_id <> head and {fits}").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = scratch.keep(verified(first, sets, threshold), "edges1")
+    first = members.where(f"doc_id <> head and {fits}").select(F.col("head").alias("a"), F.col("doc_id").alias("b"), "band").distinct()
+    near = scratch.keep(pruned(first, sets, threshold), "near1")
+    edges = scratch.keep(verified(near, sets, threshold), "edges1")
     label = components(edges, scratch)
-    named = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "size", "head", F.coalesce("root", "doc_id").alias("root"))
+    named = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "size", "head", F.coalesce("root", "doc_id").alias("root"))
     torn = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_ = named.join(torn, "key", "left_semi")
+    # sketches go with the rows, so that only pairs they don't rule out leave the join
+    open_ = sketched(open_, sets)
     x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.head and least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9"))
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    met = F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.head and least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")
+    cross = x.join(y, met & within(F.col("x.n"), F.col("y.n"), F.col("x.s"), F.col("y.s"), F.col("x.band"), threshold))
+    cross = scratch.keep(cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near2")
     more = scratch.keep(verified(cross, sets, threshold), "edges2")
     equal = table.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(edges.unionByName(more).unionByName(equal), scratch)
-    scratch.drop(table, members, sets, edges, more)
+    scratch.drop(table, members, ids, sets, near, edges, cross, more)
     return final.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
