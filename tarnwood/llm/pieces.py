@@ -209,20 +209,21 @@ def nbest_word(voc: Vocabulary, word: bytes, n: int) -> list[tuple[float, list[i
                 s = float(voc.score[k])
                 into[j].append((i, k, s))
                 forward[j] = max(forward[j], forward[i] + s)
+    # of paths with equal scores the one nearest to the start goes on, else a run of one sign, with its countless equals, would never end
     order, found = count(), []
-    heap = [(-forward[size], next(order), size, 0.0, None)]
+    heap = [(round(-forward[size], 6), size, next(order), 0.0, None)]
     while heap and len(found) < n:
-        f, _, j, g, path = heapq.heappop(heap)
+        _, j, _, g, path = heapq.heappop(heap)
         if j == 0:
             ids = []
             while path:
                 ids.append(path[0])
                 path = path[1]
-            found.append((-f, ids))
+            found.append((g, ids))
             continue
         for i, k, s in into[j]:
-            heapq.heappush(heap, (-(forward[i] + s + g), next(order), i, s + g, (k, path)))
-    return found
+            heapq.heappush(heap, (round(-(forward[i] + s + g), 6), i, next(order), s + g, (k, path)))
+    return sorted(found, key=lambda x: -x[0])
 
 
 def choices(options: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -326,7 +327,7 @@ def _encode(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for whole in batches:
-            for b in tv.slices(whole, "text", 8 << 20):
+            for b in tv.slices(whole, "text", 2 << 20):
                 ids, first, score, others = encode_texts(voc, b.column("text").to_pylist(), n)
                 rows = [[{"score": s, "edits": [{"at": a, "drop": k, "ids": x} for a, k, x in e]} for s, e in more] for more in others]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(score), tv.lists(ids, first, pa.int32()), pa.array(rows, pa.list_(_OTHER))], names=["doc_id", "score", "ids", "others"])
