@@ -26,7 +26,7 @@ def load(spark: SparkSession, folder: str, split: str = "test") -> tuple[DataFra
     end = "" if split == "test" else f"_{split}"
     corpus = read_tsv(spark, f"{folder}/corpus.tsv", ("doc_id", "text"))
     queries = read_tsv(spark, f"{folder}/queries{end}.tsv", ("query_id", "text"))
-    raw = F.split(spark.read.text(f"{folder}/qrels{end}.tsv").where("value <> ''")["value"], "\t")
+    raw = F.split("value", "\t")
     qrels = spark.read.text(f"{folder}/qrels{end}.tsv").where("value <> ''").select(raw[0].alias("query_id"), raw[1].alias("doc_id"), raw[2].cast("int").alias("relevance"))
     validate(corpus, queries, qrels)
     return corpus, queries, qrels
