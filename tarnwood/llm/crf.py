@@ -112,7 +112,9 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, s
 
 
 def label(model: Model, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marginals, best label, first) of the words of a column."""
+    """(marginals, best label, first) of the words of a column; a model without languages labels none."""
+    if not model.langs:
+        return np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64)
     buf, _, starts, ends, first, h = tv.words(column)
     if not len(starts):
         return np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64), first
@@ -134,6 +136,9 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED, sequences: int = 6
     the conditional likelihood, whose gradient forward-backward gives.
     """
     names = sorted(set(langs))
+    if not names:
+        none = np.zeros((0, 0), np.float32)
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0, U), np.zeros(0, np.int64), np.zeros((1, 0), np.float32), none, np.zeros(0, np.float32))
     y_doc = np.array([names.index(x) for x in langs], np.int64)
     buf, _, starts, ends, first, h = tv.words(pa.array(texts, pa.large_string()))
     k, rng = len(names), np.random.default_rng(seed)
@@ -283,7 +288,8 @@ def identify(docs: DataFrame, model: Model | None = None, least: float = LEAST_S
     than ``least`` of its words. A null, empty or wordless text has language
     null, no runs, and is rejected; a null lang is not trained on; a null
     doc_id stays null; equal shares go to the language first by name; rows that
-    repeat are labelled one by one. Other columns, whatever their names, are
+    repeat are labelled one by one. Where no row has a language to train on, no
+    word is labelled and all are rejected. Other columns, whatever their names, are
     not read; an empty table gives no rows. No shuffle of texts takes place.
     """
     spark = prepare(docs.sparkSession)

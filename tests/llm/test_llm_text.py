@@ -298,6 +298,7 @@ def test_identify_and_keep(spark):
     assert sum(r["words"] for r in got[0]["runs"]) == got[0]["n_words"] == 30
     kept = crf.keep_identified(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+    assert not any(r["kept"] or r["lang_found"] for r in crf.identify(df.withColumn("lang", df["lang"].substr(9, 1)).where("false").unionByName(df.where("lang is null"))).collect())
     assert crf.identify(df.limit(0)).count() == 0 and crf.keep_identified(df.limit(0)).count() == 0
 
 
