@@ -72,7 +72,8 @@ def probes_needed(q: np.ndarray, near: np.ndarray, tables: int, parts: int, seed
         for a in range(0, len(q), 256):
             s = axis_scores(q[a : a + 256], t, parts, seed)
             own = s[np.arange(len(s)), bucket(near[a : a + 256], t, parts, seed)]
-            best[a : a + 256] = np.minimum(best[a : a + 256], (s > own[:, None]).sum(1) + 1)
+            # equally near buckets are counted too, since any of them may be probed first
+            best[a : a + 256] = np.minimum(best[a : a + 256], (s >= own[:, None] - 1e-12).sum(1))
     return best
 
 
