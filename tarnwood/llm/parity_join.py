@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,10 +133,8 @@ def _sets(n: int, wanted=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            if wanted is not None and wanted.value is not None:
-                bits = wanted.value
-                h = tv.mix(whole.column("doc_id").to_numpy(zero_copy_only=False).view(U)) % U(len(bits) * 8)
-                whole = whole.filter(pa.array((bits[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1))
+            if wanted is not None:
+                whole = whole.filter(pa.array(may_hold(wanted.value, whole.column("doc_id"))))
             if not whole.num_rows:
                 continue
             for b in tv.slices(whole):
@@ -173,6 +172,15 @@ def id_filter(ids: DataFrame, most: int = FILTER_BITS) -> np.ndarray | None:
     return out[: size // 8]
 
 
+def may_hold(bits: np.ndarray | None, ids: pa.Array) -> np.ndarray:
+    """Which ids the bitmap may hold; never a null."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    if bits is None:
+        return known
+    h = tv.mix(pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(U)) % U(len(bits) * 8)
+    return known & ((bits[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1)
+
+
 def within(na, nb, sa, sb, band, threshold: float):
     """Whether two sketches of a band don't rule a pair out.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
+from .parity_join import id_filter, may_hold
 from .runtime import Scratch, prepare
 
 RUN, UNIT_WORDS, LEAST_WORDS = 3, 16, 10
@@ -134,9 +135,27 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     return without_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumnRenamed("__removed", "removed")
 
 
+def _part(wanted, inside: bool):
+    """The rows that the bitmap of ids may hold, or the others, to which nothing is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(may_hold(wanted.value, b.column("doc_id")) == inside))
+            yield b if inside else pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int32))], names=[*b.schema.names, "__removed"])
+
+    return run
+
+
 def without_spans(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, with the repeated units taken out of ``text``, and their number as ``__removed``."""
-    hits = Scratch(prepare(docs.sparkSession), "spans").keep(repeated_spans(docs.where("doc_id is not null")), "hits")
+    """The rows of docs, all columns kept, with the repeated units taken out of ``text``, and their number as ``__removed``.
+
+    A bitmap of the ids with hits keeps all other texts out of the join.
+    """
+    spark = prepare(docs.sparkSession)
+    hits = Scratch(spark, "spans").keep(repeated_spans(docs.where("doc_id is not null")), "hits")
+    wanted = spark.sparkContext.broadcast(id_filter(hits.select(F.col("doc_id").cast("long"))))
     hits = hits.select(F.col("doc_id").alias("__id"), F.col("hits").alias("__hits"))
-    joined = docs.join(hits, docs["doc_id"] == hits["__id"], "left").drop("__id")
-    return joined.mapInArrow(_cut, T.StructType([*docs.schema.fields, T.StructField("__removed", T.IntegerType())]))
+    out = T.StructType([*docs.schema.fields, T.StructField("__removed", T.IntegerType())])
+    touched = docs.mapInArrow(_part(wanted, True), docs.schema)
+    joined = touched.join(hits, touched["doc_id"] == hits["__id"], "left").drop("__id")
+    return docs.mapInArrow(_part(wanted, False), out).union(joined.mapInArrow(_cut, out))
