@@ -1,9 +1,13 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and passages of words.
 
 A text is cut into units: sentences, and pieces of 16 words of longer ones.
-Every run of three consecutive units is hashed, the hashes are joined over the
-whole corpus, and the units that any but the first occurrence of a run covers
-are removed.
+Every run of three consecutive units, or of as many more as hold ten words, is
+hashed. Beside the runs, whose places depend on where sentences begin, hashes of
+35 words at any place are winnowed: in every 16 that follow one another the
+least is chosen, by content alone, so any 50 words that occur twice, whatever
+their place in a sentence, have a chosen hash in common. All hashes are joined
+over the whole corpus, and the words that any but the first occurrence of a hash
+covers are removed; of a passage of over 50 words at most 15 stay at either end.
 """
 
 from __future__ import annotations
@@ -21,18 +25,19 @@ from .parity_join import id_filter, may_hold
 from .runtime import Scratch, prepare
 
 RUN, UNIT_WORDS, LEAST_WORDS = 3, 16, 10
+#: Words of a hashed passage, and hashes of which the least is chosen: 35 + 16 - 1 = 50 words are always met.
+PASSAGE, CHOICE = 35, 16
+#: A hit is its first word times this plus its words, of which there are fewer.
+HIT = 64
 U = np.uint64
 
 
-def units(column, longest: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, first, start, words, hash) of the units of a column; start is the byte at which a unit's first word begins.
-
-    A sentence ends at a line break, or at . ! or ? before white space or the end.
-    """
+def _cuts(column, longest: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, first, start, hash, at): the words of a column, and those at which a unit begins."""
     buf, off, starts, ends, first, h = tv.words(column)
     n = len(starts)
     if not n:
-        return off, np.zeros(len(off), np.int64), starts, starts, h
+        return off, np.zeros(len(off), np.int64), starts, h, starts
     nxt = np.full(len(buf), 10, np.uint8)
     nxt[:-1] = buf[1:]
     nxt[off[1:][off[1:] > 0] - 1] = 10
@@ -45,54 +50,117 @@ def units(column, longest: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray, np
     new[first[:-1][np.diff(first) > 0]] = True
     head = np.flatnonzero(new)
     place = np.arange(n) - np.repeat(head, np.diff(np.r_[head, n]))
-    at = np.flatnonzero(new | (place % longest == 0))
-    count = np.diff(np.r_[at, n])
-    inside = np.arange(n) - np.repeat(at, count)
+    return off, first, starts, h, np.flatnonzero(new | (place % longest == 0))
+
+
+def _sums(h: np.ndarray, at: np.ndarray, longest: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(words, hash) of the units that begin at these words."""
+    if not len(h):
+        return at, h
+    count = np.diff(np.r_[at, len(h)])
+    inside = np.arange(len(h)) - np.repeat(at, count)
     power = np.multiply.accumulate(np.r_[U(1), np.full(longest, 0xD6E8FEB86659FD93, U)])
-    h = tv.mix(np.add.reduceat(h * power[inside], at) + count.astype(U))
-    return off, np.searchsorted(at, first), starts[at], count, h
+    return count, tv.mix(np.add.reduceat(h * power[inside], at) + count.astype(U))
+
+
+def units(column, longest: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, first, start, words, hash) of the units of a column; start is the byte at which a unit's first word begins.
+
+    A sentence ends at a line break, or at . ! or ? before white space or the end.
+    """
+    off, first, starts, h, at = _cuts(column, longest)
+    return off, np.searchsorted(at, first), starts[at], *_sums(h, at, longest)
 
 
-def span_hashes(h: np.ndarray, count: np.ndarray, first: np.ndarray, run: int = RUN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position, hash) of each run of units with enough words."""
+def span_hashes(h: np.ndarray, count: np.ndarray, first: np.ndarray, run: int = RUN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position, units, hash) of each run of ``run`` units, or of as many more as hold enough words."""
     n = len(h)
     if n < run:
-        return np.empty(0, np.int64), np.empty(0, np.int64), h[:0]
-    m, g, total = n - run + 1, np.zeros(n - run + 1, U), np.zeros(n - run + 1, np.int64)
-    for k in range(run):
-        g = tv.mix(g * U(5) + h[k : k + m])
-        total += count[k : k + m]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), h[:0]
+    doc = tv.doc_of(first)
+    words = np.r_[0, np.cumsum(count)]
+    at = np.arange(n)
+    size = np.maximum(run, np.searchsorted(words, words[:-1] + least) - at)
+    good = at + size <= first[doc + 1]
+    at, size = at[good], size[good]
+    g = np.zeros(len(at), U)
+    for k in range(int(size.max(initial=0))):
+        more = size > k
+        g[more] = tv.mix(g[more] * U(5) + h[at[more] + k])
+    return doc[at], at - first[doc[at]], size, g
+
+
+def _slide(x: np.ndarray, wide: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of every ``wide`` values that follow one another."""
+    done = 1
+    while done < wide:
+        step = min(done, wide - done)
+        x = pick(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def passages(h: np.ndarray, first: np.ndarray, words: int = PASSAGE, choice: int = CHOICE) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the passages that winnowing chooses: all that are the least of ``choice`` neighbours of their document."""
+    n = len(h)
+    m = n - words + 1
+    if m < choice:
+        return np.empty(0, np.int64), h[:0]
+    power, inverse = tv._powers(n + 1)
+    sums = np.r_[U(0), np.cumsum(h * power[:n])]
+    g = tv.mix((sums[words:] - sums[:m]) * inverse[:m]) | U(1)
     doc = tv.doc_of(first)
-    good = (doc[:m] == doc[run - 1 :]) & (total >= least)
-    at = np.flatnonzero(good)
-    return doc[at], at - first[doc[at]], g[at]
+    low = _slide(g, choice, np.minimum)
+    # neighbours that reach over the end of a document choose nothing
+    low[doc[: len(low)] != doc[words + choice - 2 :]] = 0
+    edge = np.zeros(choice - 1, U)
+    at = np.flatnonzero(_slide(np.r_[edge, low, edge], choice, np.maximum) == g)
+    return at, g[at]
+
+
+def hits_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hit, hash) of the runs and the chosen passages of a column."""
+    _, first, _, words, at = _cuts(column)
+    count, h = _sums(words, at)
+    unit_first = np.searchsorted(at, first)
+    doc, pos, size, g = span_hashes(h, count, unit_first)
+    run = unit_first[doc] + pos
+    ends = np.r_[at, len(words)]
+    place, p = passages(words, first)
+    start, length = np.r_[at[run], place], np.r_[ends[run + size] - at[run], np.full(len(place), PASSAGE)]
+    doc = np.r_[doc, tv.doc_of(first)[place]]
+    return doc, (start - first[doc]) * HIT + length, np.r_[g, p]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in tv.slices(whole):
-            _, first, _, count, h = units(b.column("text"))
-            doc, pos, g = span_hashes(h, count, first)
+            doc, hit, g = hits_of(b.column("text"))
             ids = b.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64))], names=["doc_id", "pos", "h"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(hit), pa.array(g.view(np.int64))], names=["doc_id", "hit", "h"])
 
 
-def cut(texts: list[str], hits: list, run: int = RUN) -> list[tuple[str, int]]:
-    """The texts without the units that runs beginning at the given positions cover, and the number of these."""
+def cut(texts: list[str], hits: list) -> list[tuple[str, int]]:
+    """The texts without the words that the given hits cover, and the number of units that lose any."""
     column = pa.array(texts, pa.large_string())
-    off, first, start, _, _ = units(column)
+    off, first, start, _, at = _cuts(column)
     raw = tv.bytes_of(column)[0].tobytes()
     out = []
     for d, hit in enumerate(hits):
         a, b, lo, hi = first[d], first[d + 1], off[d], off[d + 1]
-        gone = np.zeros(b - a + 1, np.int32)
-        p = np.unique(np.asarray(hit, np.int64))
-        np.add.at(gone, p, 1)
-        np.add.at(gone, np.minimum(p + run, b - a), -1)
+        gone = np.zeros(b - a + 1, np.int64)
+        hit = np.asarray(hit, np.int64)
+        # a row that repeats a doc_id may be shorter than the text the hit is from
+        np.add.at(gone, np.minimum(hit // HIT, b - a), 1)
+        np.add.at(gone, np.minimum(hit // HIT + hit % HIT, b - a), -1)
         covered = np.cumsum(gone)[:-1] > 0
-        edges = np.r_[lo, start[a + 1 : b], hi] if b > a else np.array([lo, hi])
-        kept = b"".join(raw[edges[i] : edges[i + 1]] for i in np.flatnonzero(~covered))
-        out.append((kept.decode("utf-8", "replace").rstrip(), int(covered.sum())))
+        own = at[np.searchsorted(at, a) : np.searchsorted(at, b)] - a
+        count = int(np.logical_or.reduceat(covered, own).sum()) if len(own) else 0
+        turn = np.flatnonzero(np.r_[True, covered[1:] != covered[:-1]]) if b > a else np.empty(0, np.int64)
+        edges = np.r_[lo, start[a + turn[1:]], hi]
+        stay = ~covered[turn] if b > a else np.ones(1, bool)
+        kept = b"".join(raw[edges[i] : edges[i + 1]] for i in np.flatnonzero(stay))
+        out.append((kept.decode("utf-8", "replace").rstrip(), count))
     return out
 
 
@@ -113,21 +181,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, hits): the positions at which a non-first occurrence of a run begins, for the documents that have any.
+    """(doc_id, hits): the words that non-first occurrences of runs and passages cover, for the documents that have any.
 
     First is the occurrence with the least (doc_id, position).
     """
-    spans = docs.select("doc_id", "text").mapInArrow(_spans, "doc_id long, pos int, h long")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "pos"))
-    return spans.withColumn("rn", rank).where("rn > 1").groupBy("doc_id").agg(F.collect_set("pos").alias("hits"))
+    spans = docs.select("doc_id", "text").mapInArrow(_spans, "doc_id long, hit long, h long")
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "hit"))
+    return spans.withColumn("rn", rank).where("rn > 1").groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
 
 
 def drop_repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, removed): every document with the repeated units taken out, and how many were.
+    """(doc_id, text, removed): every document with the repeated words taken out, and how many units lost any.
 
     All rows come back, also those whose text becomes empty. A null or empty
-    text, or one of fewer than three units, stays as it is; runs of fewer than
-    ten words are never compared. Rows with a null doc_id stay as they are.
+    text, or one of fewer than three units and 50 words, stays as it is; a run
+    of units that ends with the text before it has ten words is not compared. Rows with a null doc_id stay as they are.
     Rows that repeat a doc_id share positions: what is repeated between them is
     removed from each. Repeats within one text count. Other columns, whatever
     their names, are not read; an empty table gives no rows.
@@ -147,7 +215,7 @@ def _part(wanted, inside: bool):
 
 
 def without_spans(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, with the repeated units taken out of ``text``, and their number as ``__removed``.
+    """The rows of docs, all columns kept, with the repeated words taken out of ``text``, and the number of units that lose any as ``__removed``.
 
     A bitmap of the ids with hits keeps all other texts out of the join.
     """

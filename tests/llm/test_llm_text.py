@@ -374,6 +374,21 @@ def test_spans_of_awkward_rows(spark):
     assert spans.drop_repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_passages_are_found_at_any_place(spark):
+    """Fifty-one words repeat at other offsets of unpunctuated texts, and short lines repeat."""
+    rng, words = np.random.default_rng(17), vocabulary(4000, 3)
+    shared = [str(w) for w in rng.choice(words, 51)]
+    rows = [(i, " ".join([*rng.choice(words, 20 + i), *shared, *rng.choice(words, 30)])) for i in range(20)]
+    lines = "\n".join(words[:40])
+    rows += [(30, lines), (31, "\n".join([*words[50:57], lines, *words[60:67]])), (32, " ".join(words[100:400]))]
+    got = {r["doc_id"]: r for r in spans.drop_repeated_spans(frame(spark, rows)).collect()}
+    for i in range(1, 20):
+        left = got[i]["text"].split()
+        assert got[i]["removed"] > 0 and len(left) <= len(rows[i][1].split()) - 35 and left[: 20 + i] == rows[i][1].split()[: 20 + i]
+    assert got[0]["text"] == rows[0][1] and got[30]["text"] == lines and got[32]["removed"] == 0
+    assert got[31]["removed"] == 40 and got[31]["text"].split() == [*words[50:57], *words[60:67]]
+
+
 # 10 packing
 
 
