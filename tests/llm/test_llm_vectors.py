@@ -50,6 +50,19 @@ def test_estimates_lie_within_their_bounds():
     assert np.abs(np.mean(means, 0) - u[:20] @ u[:20].T).mean() < 0.03
 
 
+def test_pairs_at_the_threshold_meet_at_every_size():
+    rng = np.random.default_rng(4)
+    d, t = 64, 0.95
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 1500, d)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = t * a + np.sqrt(1 - t * t) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (300, 10**6, 10**8):
+        *shape, many = binary_codes.plan(n, d)
+        turns = binary_codes.rotations(d, many)
+        x, y = (binary_codes.band_keys(binary_codes.code(v, turns)[1], *shape) for v in (a, b))
+        assert (x == y).any(1).mean() >= 0.9
+
+
 def awkward(spark):
     nan, inf = float("nan"), float("inf")
     return spark.createDataFrame(
