@@ -7,6 +7,10 @@ above the symmetric difference. Sets with a Jaccard similarity of at least t
 and sizes a and b differ in at most D = (1 - t) / (1 + t) * (a + b) tokens;
 split into D + 1 blocks, two such sketches agree on one block at least
 (pigeonhole), and equal blocks become an equi-join, size band by size band.
+Only blocks with tokens are keys, so a pair is lost if all its equal blocks are
+empty; that is likely in the smallest sets alone. Those of under 16 tokens join
+exactly instead, on single tokens: of a set of s tokens the s - ceil(t * s) + 1
+of least hash, of which any two such sets share one.
 Bands with sets of over 128 tokens join on a hash sample of the tokens (the
 same tokens in either set) and 64 blocks; there the search is approximate, with
 several common blocks expected even at the threshold. Candidates are pruned by
@@ -29,28 +33,33 @@ from .graph import components
 from .runtime import Scratch, prepare
 
 THRESHOLD, NGRAM, SAMPLE, BLOCKS, BITS = 0.55, 3, 128, 64, 1024
+#: Sets of fewer tokens join on tokens, not on blocks.
+SMALL = 16
 #: Bits of the filter of ids, at most: 32 MB.
 FILTER_BITS = 1 << 28
 U = np.uint64
 
 
 def blocks_of(level: int, threshold: float, sample: int = SAMPLE, most: int = BLOCKS) -> int:
-    """Blocks of the sketches of one band: pigeonhole's D + 1, or ``most`` where that is more."""
+    """Blocks of the sketches of one band: pigeonhole's D + 1, and in bands that join on samples ``most`` where that is more."""
     top = math.floor((1 - threshold) / (1 + threshold) * 2 * sample * 2.0 ** (min(level, 0) + 1))
-    return max(1, min(most, top + 1))
+    return max(1, top + 1 if level < 0 else min(most, top + 1))
 
 
 def block_keys(sets: np.ndarray, first: np.ndarray, threshold: float, sample: int = SAMPLE, most: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, key, band) of every block that is joined on: a set of size s is in band floor(log2(s / sample)) and in the next one."""
+    """(doc, key, band) of every block or token that is joined on: a set of size s is in band floor(log2(s / sample)) and in the next one."""
     size = np.diff(first)
     doc = np.repeat(np.arange(len(size)), size)
     level = level_of(size, sample)
-    docs, keys, bands = [], [], []
+    least = int(level_of(np.array([SMALL]), sample)[0])
+    wide = max(most, 2 * sample + 1)
+    tiny, small = small_keys(sets, first, level < least, threshold)
+    docs, keys, bands = [tiny], [small], [level[tiny]]
     spread, place = tv.mix(sets ^ U(0x51ED270B)), tv.mix(sets ^ U(0x2545F491))
     for step in (0, 1):
         # a set of size s meets, in the next band up, sets of s / t tokens at most
         band = level + step
-        joins = (size > 1) if not step else (size > 1) & (np.floor(np.log2(size / threshold / sample + 1e-9)) >= band)
+        joins = (level >= least) if not step else (size > 1) & (band >= least) & (np.floor(np.log2(size / threshold / sample + 1e-9)) >= band)
         g = band[doc]
         keep = joins[doc] & ((spread >> U(11)) < np.ldexp(1.0, 53 - np.maximum(g, 0)).astype(U))
         d, h, g, p = doc[keep], sets[keep], g[keep], place[keep]
@@ -60,7 +69,7 @@ def block_keys(sets: np.ndarray, first: np.ndarray, threshold: float, sample: in
         low = min(table)
         count = np.array([table.get(low + i, 1) for i in range(max(table) - low + 1)], U)
         block = (p % count[g - low]).astype(np.int64)
-        code = d * most + block
+        code = d * wide + block
         order = np.argsort(code, kind="stable")
         code, h, g = code[order], h[order], g[order]
         at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
@@ -68,18 +77,31 @@ def block_keys(sets: np.ndarray, first: np.ndarray, threshold: float, sample: in
         xor = np.bitwise_xor.reduceat(h, at)
         g = g[at]
         # one token alone is no evidence where blocks are fewer than D + 1
-        enough = n >= np.where(g >= -1, 2, 1)
-        band_block = tv.mix((g + 64).astype(U) * U(most) + (code[at] % most).astype(U))
-        docs.append((code[at] // most)[enough])
+        enough = n >= np.where(g >= 0, 2, 1)
+        band_block = tv.mix((g + 64).astype(U) * U(wide) + (code[at] % wide).astype(U))
+        docs.append((code[at] // wide)[enough])
         keys.append(tv.mix(xor ^ band_block)[enough])
         bands.append(g[enough])
-    if not docs:
-        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.int64)
     d, k, g = np.concatenate(docs), np.concatenate(keys), np.concatenate(bands)
     order = np.argsort(d, kind="stable")
     return d[order], k[order], g[order]
 
 
+def small_keys(sets: np.ndarray, first: np.ndarray, small: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, key) of the tokens that small sets join on, the same in all their bands."""
+    size = np.diff(first)
+    # other sets than its own copies can be near a set of s only if s / (s + 1) is enough
+    joins = small & (size > 0) & (size >= threshold * (size + 1) - 1e-9)
+    doc = np.repeat(np.arange(len(size)), size)
+    keep = joins[doc]
+    d, h = doc[keep], tv.mix(sets[keep] ^ U(0x6A09E667))
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    rank = np.arange(len(d)) - np.searchsorted(d, d)
+    keep = rank < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[d]
+    return d[keep], h[keep]
+
+
 def sampled(sets: np.ndarray, size: np.ndarray, step: int, sample: int = SAMPLE) -> np.ndarray:
     """Which tokens of each set belong to the hash sample of its band, or of the next one: all of them in bands of small sets."""
     doc = np.repeat(np.arange(len(size)), size)

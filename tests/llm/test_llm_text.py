@@ -101,6 +101,17 @@ def test_small_bands_lose_no_pair():
         assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
 
 
+def test_smallest_sets_and_band_below_the_samples_lose_no_pair():
+    rng = np.random.default_rng(15)
+    for a, b, c, times in ((2, 3, 2, 300), (3, 5, 3, 300), (4, 4, 3, 300), (7, 11, 7, 300), (15, 20, 13, 300), (100, 100, 72, 20)):
+        for _ in range(times):
+            x = rng.integers(0, 2**63, a + b - c, dtype=np.uint64)
+            x, y = np.unique(x[:a]), np.unique(x[a - c :])
+            doc, key, _ = parity_join.block_keys(np.r_[x, y], np.array([0, a, a + b]), 0.55)
+            assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), (a, b)
+    assert parity_join.blocks_of(-1, 0.55) == 75
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(6)
     a, b = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)), np.unique(rng.integers(0, 2**63, 280, dtype=np.uint64))
