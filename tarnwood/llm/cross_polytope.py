@@ -77,6 +77,19 @@ def probes_needed(q: np.ndarray, near: np.ndarray, tables: int, parts: int, seed
     return best
 
 
+def nearest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest values of each row, of equal ones those of the first columns."""
+    if s.shape[1] <= k:
+        return np.divmod(np.arange(s.size), max(s.shape[1], 1))
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]
+    keep = s >= least
+    over = np.flatnonzero(keep.sum(1) > k)
+    if len(over):
+        above, level = s[over] > least[over], s[over] == least[over]
+        keep[over] = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(keep)
+
+
 def calibrate(rows: DataFrame, d: int, k: int, tables: int, parts: int, recall: float, sample: int, seed: int) -> int:
     """The number of probes at which ``recall`` of the true neighbours of a sample of queries, found among all rows, are candidates."""
     picked = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("vec_id", "v").toPandas()
@@ -117,7 +130,8 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, recall:
     Every row is a query. Vectors of unlike length are never compared. Left out
     are null ids, null or empty vectors, and vectors with a null, NaN, infinite
     or only zero entries. Rows that repeat count once; of unlike vectors under
-    one id the least counts. Equal similarities rank by id. Fewer than k
+    one id the least counts. Similarities are rounded to 9 places, and equal ones
+    rank by id, before any candidate is dropped. Fewer than k
     neighbours are given where there are fewer. Other columns, whatever their
     names, are not read; an empty table gives no rows.
 
@@ -162,7 +176,7 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, recall:
         def meet(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             if not len(points) or not len(queries):
                 return pd.DataFrame({"vec_id": [], "neighbour_id": [], "similarity": []}).astype({"vec_id": "int64", "neighbour_id": "int64"})
-            order = np.argsort(points["h"].to_numpy(), kind="stable")
+            order = np.lexsort((points["vec_id"].to_numpy(), points["h"].to_numpy()))
             h, ids, x = points["h"].to_numpy()[order], points["vec_id"].to_numpy()[order], np.stack(points["x"].to_numpy())[order]
             q_ids, q = queries["vec_id"].to_numpy(), np.stack(queries["x"].to_numpy())
             hs = np.concatenate(queries["hs"].to_numpy())
@@ -177,12 +191,13 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, recall:
                     w = asking[a : a + 1024]
                     for c in range(lo, hi, 8192):
                         e = min(c + 8192, hi)
-                        s = q[w] @ x[c:e].T
+                        # sums of products differ in their last bits between blocks, so equal vectors are ranked by id on rounded values
+                        s = np.round(q[w] @ x[c:e].T, 9)
                         s[q_ids[w][:, None] == ids[c:e][None]] = -9
-                        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if e - c > k else np.tile(np.arange(e - c), (len(w), 1))
-                        left.append(np.repeat(w, top.shape[1]))
-                        right.append(c + top.reshape(-1))
-                        score.append(np.take_along_axis(s, top, 1).reshape(-1))
+                        i, j = nearest(s, k)
+                        left.append(w[i])
+                        right.append(c + j)
+                        score.append(s[i, j])
             if not left:
                 return meet(points[:0], queries)
             left, right, score = map(np.concatenate, (left, right, score))
@@ -199,6 +214,5 @@ def neighbours(df: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, recall:
         found = points.groupBy("cell").cogroup(queries.groupBy("cell")).applyInPandas(meet, "vec_id long, neighbour_id long, similarity double")
         out = out.unionByName(found)
     best = out.repartition("vec_id").groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
-    # sums of products differ in their last bits between blocks, so equal vectors are ranked by id on rounded values
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("similarity", 9)), "neighbour_id"))
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "similarity")

@@ -90,6 +90,21 @@ def test_recall_of_neighbours(spark):
     assert {r["vec_id"] for r in rows} == set(range(len(x)))
 
 
+def test_of_many_equal_neighbours_the_least_ids_are_given(spark):
+    rng = np.random.default_rng(8)
+    x = np.r_[np.tile(rng.standard_normal(24), (60, 1)), rng.standard_normal((60, 24))]
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], 0) for i, r in zip(ids, x)], SCHEMA)
+    copies = sorted(ids[:60].tolist())
+    got = {}
+    for r in cross_polytope.neighbours(df).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbour_id"]
+    for i in copies:
+        assert [got[i][k] for k in range(1, 11)] == [c for c in copies if c != i][:10]
+    s = np.array([[1.0, 3.0, 2.0, 2.0, 2.0]])
+    assert cross_polytope.nearest(s, 3)[1].tolist() == [1, 2, 3] and cross_polytope.nearest(s, 9)[1].tolist() == [0, 1, 2, 3, 4]
+
+
 def test_neighbours_of_awkward_rows(spark):
     got = sorted((r["vec_id"], r["rank"], r["neighbour_id"]) for r in cross_polytope.neighbours(awkward(spark)).collect())
     assert got == [(1, 1, 2), (1, 2, 10), (2, 1, 1), (2, 2, 10), (10, 1, 1), (10, 2, 2)]
