@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwood.functions import hashing as H
 from tarnwood.session import prepare
 
 U = np.uint64
-TRAIN_ROWS = 100_000
+ROUNDS = 25
 
 
 def check(dim: int, m: int, k: int) -> int:
@@ -31,50 +32,112 @@ def random_codebooks(dim: int, m: int, k: int, seed: int = 0) -> np.ndarray:
     return np.sqrt(-2 * np.log(u0)) * np.cos(2 * np.pi * u1)
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 25) -> np.ndarray:
-    """k-means++ from row 0, then Lloyd; an empty cluster takes the row farthest from its centroid."""
-    if len(x) < k:
-        raise ValueError("fewer rows than centroids")
-    rng = np.random.default_rng(seed)
-    c = np.empty((k, x.shape[1]))
-    c[0] = x[0]
-    near = ((x - c[0]) ** 2).sum(1)
-    for i in range(1, k):
-        c[i] = x[rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else i]
-        near = np.minimum(near, ((x - c[i]) ** 2).sum(1))
-    own = np.full(len(x), -1)
-    for _ in range(rounds):
-        d = (c * c).sum(1)[None] - 2 * x @ c.T
-        new = d.argmin(1)
-        if (new == own).all():
-            break
-        own = new
-        n = np.bincount(own, minlength=k)
-        sums = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        far = np.argsort(-(d[np.arange(len(x)), own] + (x * x).sum(1)), kind="stable")
-        for j, r in zip(np.flatnonzero(n == 0), far):
-            c[j] = x[r]
-    return c
-
-
-def train(vectors: DataFrame, m: int, k: int = 256, seed: int = 0, vec: str = "vec", key: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(mi, ki, centroid): one group a subspace, trained on up to ``rows`` vectors (those with the least hashes of the key)."""
-    prepare(vectors.sparkSession)
-    first = vectors.select(F.size(vec)).first()
-    if first is None:
-        raise ValueError("no vectors to train on")
-    d = check(first[0], m, k)
-    sample = vectors.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
-    parts = sample.select(key, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("mi"), vec).select(key, "mi", F.slice(vec, F.col("mi") * d + 1, F.lit(d)).alias("x"))
+def _far(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Squared distances of rows (n, m, d) to all centroids (m, k, d), as (n, m, k)."""
+    d = np.stack([(c * c).sum(1)[None] - 2 * x[:, i] @ c.T for i, c in enumerate(books)], 1)
+    return np.maximum(d + (x * x).sum(2)[:, :, None], 0)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        mi = int(group["mi"].iloc[0])
-        c = kmeans(np.stack(group["x"].to_numpy()).astype(np.float64), k, seed + mi)
-        return pd.DataFrame({"mi": mi, "ki": np.arange(k), "centroid": list(c)})
 
-    return parts.groupBy("mi").applyInPandas(fit, "mi int, ki int, centroid array<double>")
+def _parts(batches, m: int, most: int = 4096):
+    """(h, x) of slices of the rows: the hashes of their keys and their subvectors (n, m, d)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, most):
+            b = whole.slice(at, most)
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False)
+            yield b.column("h").to_numpy().view(U), x.reshape(b.num_rows, m, -1)
+
+
+def _picked(rows: DataFrame, books: np.ndarray, many: np.ndarray, score) -> dict[int, np.ndarray]:
+    """For each subspace the ``many`` subvectors off all centroids with the least ``score(h, distance, subspace)``, over all rows."""
+    m, _, d = books.shape
+
+    def run(batches):
+        best = [(np.zeros(0), np.zeros((0, d)))] * m
+        for h, x in _parts(batches, m):
+            near = _far(x, books).min(2)
+            for i in np.flatnonzero(many):
+                live = near[:, i] > 1e-12
+                s, v = np.r_[best[i][0], score(h[live], near[live, i], i)], np.r_[best[i][1], x[live, i]]
+                keep = np.argsort(s, kind="stable")[: many[i]]
+                best[i] = s[keep], v[keep]
+        for i, (s, v) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int32)), pa.array(s), pa.array(list(v), pa.list_(pa.float64()))], names=["mi", "s", "v"])
+
+    rank = F.row_number().over(Window.partitionBy("mi").orderBy("s", "v"))
+    out: dict[int, list] = {}
+    for r in rows.mapInArrow(run, "mi int, s double, v array<double>").withColumn("rn", rank).where(F.col("rn") <= int(many.max())).orderBy("mi", "rn").collect():
+        out.setdefault(r["mi"], []).append(r["v"])
+    return {i: np.array(v)[: many[i]] for i, v in out.items()}
+
+
+def _seeds(rows: DataFrame, start: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ from ``start``: each next centroid is drawn from all rows by squared distance, as the first in a race of exponential times keyed by row."""
+    books, m = start, len(start)
+    for step in range(1, k):
+
+        def time(h, near, i, step=step):
+            u = (H.mix(h ^ H.mix(np.array([(seed * 256 + step) * m + i], U))) >> U(11) | U(1)).astype(np.float64) / 2.0**53
+            return -np.log(u) / near
+
+        found = _picked(rows, books, np.ones(m, np.int64), time)
+        # where all rows lie on centroids, the first is repeated
+        books = np.concatenate([books, np.stack([found[i][:1] if i in found else books[i, :1] for i in range(m)])], 1)
+    return books
+
+
+def _lloyd(rows: DataFrame, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, rows) of the subvectors nearest to each centroid, added up over all rows in Spark."""
+    m, k, d = books.shape
+
+    def run(batches):
+        total = np.zeros((m, k, d + 1))
+        for _, x in _parts(batches, m):
+            own = _far(x, books).argmin(2)
+            for i in range(m):
+                total[i, :, d] += np.bincount(own[:, i], minlength=k)
+                for j in range(d):
+                    total[i, :, j] += np.bincount(own[:, i], x[:, i, j], k)
+        flat = total.reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "s"])
+
+    out = np.zeros(m * k * (d + 1))
+    for r in rows.mapInArrow(run, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s")).collect():
+        out[r["cell"]] = r["s"]
+    out = out.reshape(m, k, d + 1)
+    return out[:, :, :d], out[:, :, d]
+
+
+def train(vectors: DataFrame, m: int, k: int = 256, seed: int = 0, vec: str = "vec", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """(mi, ki, centroid): k-means of each subspace on all vectors.
+
+    k-means++ from the row of the least key, then Lloyd's rounds, each a pass
+    over all vectors; an empty cluster takes the row farthest from its centroid.
+    """
+    spark = prepare(vectors.sparkSession)
+    first = vectors.orderBy(key, vec).select(vec).first()
+    if first is None:
+        raise ValueError("no vectors to train on")
+    d = check(len(first[0]), m, k)
+    rows = vectors.select(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(vec).cast("array<double>").alias("x")).persist(StorageLevel.DISK_ONLY)
+    try:
+        if rows.count() < k:
+            raise ValueError("fewer rows than centroids")
+        books = _seeds(rows, np.array(first[0], np.float64).reshape(m, 1, d), k, seed)
+        for _ in range(rounds):
+            sums, n = _lloyd(rows, books)
+            new = np.where(n[:, :, None] > 0, sums / np.maximum(n, 1)[:, :, None], books)
+            empty = (n == 0).sum(1)
+            if empty.any():
+                for i, v in _picked(rows, books, empty, lambda h, near, i: -near).items():
+                    new[i, np.flatnonzero(n[i] == 0)[: len(v)]] = v
+            still = np.abs(new - books).max() <= 1e-12 * max(1.0, np.abs(books).max())
+            books = new
+            if still:
+                break
+    finally:
+        rows.unpersist()
+    return table_of(spark, books)
 
 
 def codebooks(table: DataFrame) -> np.ndarray:
@@ -115,8 +178,6 @@ def nearest_codes(x: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def _encode_arrow(vectors: DataFrame, books: np.ndarray, vec: str, key: str) -> DataFrame:
-    import pyarrow as pa
-
     spark = prepare(vectors.sparkSession)
     shared = spark.sparkContext.broadcast(books)
 

@@ -251,6 +251,15 @@ def test_quantiser(spark):
         pq.check(10, 3, 4)
 
 
+def test_quantiser_is_trained_on_all_vectors(spark):
+    """A rare cluster that 100,000 other rows come before by their hashes has its centroid."""
+    ids = spark.range(100_200).withColumnRenamed("id", "doc_id")
+    rare = [r[0] for r in ids.orderBy(F.xxhash64("doc_id", F.lit(0)).desc()).limit(20).collect()]
+    x = F.when(F.col("doc_id").isin(rare), 100.0).otherwise(F.col("doc_id") % 7 / 100)
+    books = pq.codebooks(pq.train(ids.withColumn("vec", F.array(x, x)), 1, 2))
+    assert sorted(round(v, 6) for v in books[0, :, 0])[1] == 100.0
+
+
 def test_factorisation():
     rng = np.random.default_rng(2)
     a = rng.standard_normal((20, 6))
