@@ -224,13 +224,13 @@ def _pairs(e: np.ndarray, p: np.ndarray, model: Model, n: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = SEED, most_langs: int = 64) -> Model:
+def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = SEED) -> Model:
     """A model from ``per_lang`` documents of each value of column ``lang`` (those with the least hashes of doc_id); ids are chosen first, so texts of others never move."""
     from pyspark.sql import Window
 
     ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     h = F.xxhash64("doc_id", F.lit(seed))
-    chosen = ids.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("rn") <= per_lang).select("doc_id").limit(per_lang * most_langs)
+    chosen = ids.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("rn") <= per_lang).select("doc_id")
     picked = [r[0] for r in chosen.collect()]
     rows = sorted(docs.where(F.col("doc_id").isin(picked) & F.col("lang").isNotNull()).select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"] or "")) if picked else []
     return fit([r["text"] or "" for r in rows], [r["lang"] for r in rows], seed)

@@ -287,6 +287,12 @@ def test_words_of_mixed_texts_are_labelled(spark):
     assert right / total > 0.9
 
 
+def test_every_language_is_trained_on(spark, monkeypatch):
+    monkeypatch.setattr(crf, "fit", lambda texts, langs, seed: langs)
+    rows = [(i, "some words", f"l{i // 2}", "src", 10) for i in range(140)]
+    assert sorted(crf.train(spark.createDataFrame(rows, SCHEMA), per_lang=1)) == sorted({r[2] for r in rows})
+
+
 def test_marginals_equal_all_paths():
     rng = np.random.default_rng(4)
     e, move, start = rng.standard_normal((5, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
