@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,12 +132,21 @@ def hits_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, (start - first[doc]) * HIT + length, np.r_[g, p]
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in tv.slices(whole):
-            doc, hit, g = hits_of(b.column("text"))
-            ids = b.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hit), pa.array(g.view(np.int64))], names=["doc_id", "hit", "h"])
+def _spans(key: str):
+    """(key, hit, h, again) of each hit; again is whether the same row has the hash at a place before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in tv.slices(whole):
+                doc, hit, g = hits_of(b.column("text"))
+                order = np.lexsort((hit, g, doc))
+                doc, hit, g = doc[order], hit[order], g[order]
+                again = np.zeros(len(g), bool)
+                again[1:] = (g[1:] == g[:-1]) & (doc[1:] == doc[:-1])
+                ids = b.column(key).cast(pa.int64()).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hit), pa.array(g.view(np.int64)), pa.array(again)], names=["key", "hit", "h", "again"])
+
+    return run
 
 
 def cut(texts: list[str], hits: list) -> list[tuple[str, int]]:
@@ -150,9 +159,8 @@ def cut(texts: list[str], hits: list) -> list[tuple[str, int]]:
         a, b, lo, hi = first[d], first[d + 1], off[d], off[d + 1]
         gone = np.zeros(b - a + 1, np.int64)
         hit = np.asarray(hit, np.int64)
-        # a row that repeats a doc_id may be shorter than the text the hit is from
-        np.add.at(gone, np.minimum(hit // HIT, b - a), 1)
-        np.add.at(gone, np.minimum(hit // HIT + hit % HIT, b - a), -1)
+        np.add.at(gone, hit // HIT, 1)
+        np.add.at(gone, hit // HIT + hit % HIT, -1)
         covered = np.cumsum(gone)[:-1] > 0
         own = at[np.searchsorted(at, a) : np.searchsorted(at, b)] - a
         count = int(np.logical_or.reduceat(covered, own).sum()) if len(own) else 0
@@ -180,14 +188,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(gone)], names=[*names, "__removed"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, hits): the words that non-first occurrences of runs and passages cover, for the documents that have any.
+def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
+    """(key, hits): the words that non-first occurrences of runs and passages cover, for the rows that have any.
 
-    First is the occurrence with the least (doc_id, position).
+    ``key`` is unique and never null. First is the occurrence with the least
+    (key, position). The first row of each hash comes from an aggregate, which
+    combines before it shuffles, and is joined to the occurrences: a hash that
+    a third of all texts holds is no group in one task, since a join's long
+    partitions are split.
     """
-    spans = docs.select("doc_id", "text").mapInArrow(_spans, "doc_id long, hit long, h long")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "hit"))
-    return spans.withColumn("rn", rank).where("rn > 1").groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
+    spans = scratch.keep(docs.select(key, "text").mapInArrow(_spans(key), "key long, hit long, h long, again boolean"), "spans")
+    firsts = spans.groupBy("h").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least")
+    later = spans.join(scratch.keep(firsts, "firsts"), "h").where("again or key > least")
+    return later.groupBy("key").agg(F.collect_set("hit").alias("hits"))
 
 
 def drop_repeated_spans(docs: DataFrame) -> DataFrame:
@@ -196,34 +209,60 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     All rows come back, also those whose text becomes empty. A null or empty
     text, or one of fewer than three units and 50 words, stays as it is; a run
     of units that ends with the text before it has ten words is not compared. Rows with a null doc_id stay as they are.
-    Rows that repeat a doc_id share positions: what is repeated between them is
-    removed from each. Repeats within one text count. Other columns, whatever
-    their names, are not read; an empty table gives no rows.
+    A text of any length is worked on whole. Rows that repeat a doc_id are
+    documents of their own: of equal rows one stays whole, and of unlike ones
+    that with the lesser hash of its text comes first. Repeats within one text
+    count, and of those the first place stays. Other columns, whatever their
+    names, are not read; an empty table gives no rows.
     """
     return without_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumnRenamed("__removed", "removed")
 
 
-def _part(wanted, inside: bool):
-    """The rows that the bitmap of ids may hold, or the others, to which nothing is done."""
+def _part(wanted, inside: bool, key: str):
+    """The rows that the bitmap of keys may hold, or the others, to which nothing is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(may_hold(wanted.value, b.column("doc_id")) == inside))
+            b = b.filter(pa.array(may_hold(wanted.value, b.column(key)) == inside))
             yield b if inside else pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int32))], names=[*b.schema.names, "__removed"])
 
     return run
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The rows and the name of a column that tells them apart, in the order in which occurrences count.
+
+    That is doc_id where no two rows share one. Else the rows are written once,
+    sorted by doc_id and the text's hash, with a number as a new column; equal rows
+    are spread over the tasks of the sort by a random number.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1").limit(1).count():
+        return docs, "doc_id"
+    key = "__key"
+    while key in docs.columns:
+        key += "_"
+    number = F.monotonically_increasing_id()
+    rows = docs.orderBy("doc_id", F.xxhash64("text"), F.rand(7)).withColumn(key, F.when(F.col("doc_id").isNotNull(), number))
+    return scratch.keep(rows, "rows"), key
+
+
 def without_spans(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns kept, with the repeated words taken out of ``text``, and the number of units that lose any as ``__removed``.
 
-    A bitmap of the ids with hits keeps all other texts out of the join.
+    Nulls, repeated rows, long, short and empty texts are treated as
+    ``drop_repeated_spans`` says. A bitmap of the keys with hits keeps all other
+    texts out of the join; where there are too many keys for it, all texts are
+    joined.
     """
     spark = prepare(docs.sparkSession)
-    hits = Scratch(spark, "spans").keep(repeated_spans(docs.where("doc_id is not null")), "hits")
-    wanted = spark.sparkContext.broadcast(id_filter(hits.select(F.col("doc_id").cast("long"))))
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("hits").alias("__hits"))
-    out = T.StructType([*docs.schema.fields, T.StructField("__removed", T.IntegerType())])
-    touched = docs.mapInArrow(_part(wanted, True), docs.schema)
-    joined = touched.join(hits, touched["doc_id"] == hits["__id"], "left").drop("__id")
-    return docs.mapInArrow(_part(wanted, False), out).union(joined.mapInArrow(_cut, out))
+    scratch = Scratch(spark, "spans")
+    rows, key = keyed(docs, scratch)
+    hits = scratch.keep(repeated_spans(rows.where(F.col(key).isNotNull()), scratch, key), "hits")
+    wanted = spark.sparkContext.broadcast(id_filter(hits.select("key")))
+    hits = hits.select(F.col("key").alias("__id"), F.col("hits").alias("__hits"))
+    out = T.StructType([*rows.schema.fields, T.StructField("__removed", T.IntegerType())])
+    touched = rows.mapInArrow(_part(wanted, True, key), rows.schema)
+    joined = touched.join(hits, touched[key] == hits["__id"], "left").drop("__id")
+    done = rows.mapInArrow(_part(wanted, False, key), out).union(joined.mapInArrow(_cut, out))
+    return done.select(*docs.columns, "__removed")

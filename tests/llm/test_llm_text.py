@@ -406,6 +406,26 @@ def test_passages_are_found_at_any_place(spark):
     assert got[31]["removed"] == 40 and got[31]["text"].split() == [*words[50:57], *words[60:67]]
 
 
+def test_of_repeated_rows_the_first_stays_whole(spark):
+    t = "Alpha walks to the old harbour today. Beta carries four heavy boxes along. Gamma counts every gull above them. Delta sleeps until the evening comes."
+    got = [(r["text"], r["removed"]) for r in spans.drop_repeated_spans(frame(spark, [(1, t), (1, t)])).collect()]
+    assert sorted(got) == [("", 4), (t, 0)]
+    rows = [(0, t), (1, "Omega is another sentence of six words. " + t), (1, "Short.")]
+    got = sorted((r["doc_id"], r["text"], r["removed"]) for r in spans.drop_repeated_spans(frame(spark, rows)).collect())
+    assert got == [(0, t, 0), (1, "Omega is another sentence of six words.", 4), (1, "Short.", 0)]
+
+
+def test_repeated_ids_are_as_ids_of_their_own(spark):
+    rng, words = np.random.default_rng(27), vocabulary()
+    pool = [" ".join(rng.choice(words, 9)).capitalize() + "." for _ in range(12)]
+    rows = [(int(rng.integers(0, 8)), " ".join(rng.choice(pool, int(rng.integers(0, 9))))) for _ in range(50)]
+    df = frame(spark, rows + rows[:5] + [(None, rows[0][1])])
+    got = Counter((r["text"], r["removed"]) for r in spans.drop_repeated_spans(df).collect() if r["doc_id"] is not None)
+    order = [r["text"] for r in df.where("doc_id is not null").selectExpr("doc_id", "xxhash64(text) as x", "text").orderBy("doc_id", "x").collect()]
+    want = spans.drop_repeated_spans(frame(spark, list(enumerate(order)))).collect()
+    assert got == Counter((r["text"], r["removed"]) for r in want)
+
+
 # 10 packing
 
 
