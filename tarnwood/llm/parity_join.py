@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -35,6 +35,8 @@ from .runtime import Scratch, prepare
 THRESHOLD, NGRAM, SAMPLE, BLOCKS, BITS = 0.55, 3, 128, 64, 1024
 #: Sets of fewer tokens join on tokens, not on blocks.
 SMALL = 16
+#: Members of a bucket whose pairs are looked at one by one, and cells of the table of tokens' counts for greater ones.
+WIDE, CELLS = 64, 1 << 20
 #: Bits of the filter of ids, at most: 32 MB.
 FILTER_BITS = 1 << 28
 U = np.uint64
@@ -240,62 +242,126 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common) - 1e-9).select("a", "b")
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+def prefixes(sets: np.ndarray, first: np.ndarray, load: np.ndarray, threshold: float, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, key, band) of the rarest tokens of each set, of which any two sets that are near share one.
+
+    A set of s tokens has s - ceil(t * s) others at most than those in common
+    with a set that is near, so one more are enough in any order that all sets
+    share; the order is by ``load``, the count of a token's cell, so that common
+    tokens come last. In bands that join on samples four deviations are added.
+    """
+    size = np.diff(first)
+    doc, level = np.repeat(np.arange(len(size)), size), level_of(size, sample)
+    docs, keys, bands = [], [], []
+    for step in (0, 1):
+        band = np.maximum(level + step, 0)
+        joins = (size > 0) if not step else (band > np.maximum(level, 0)) & (np.floor(np.log2(np.maximum(size, 1) / threshold / sample + 1e-9)) >= band)
+        keep = joins[doc] & ((tv.mix(sets ^ U(0x51ED270B)) >> U(11)) < np.ldexp(1.0, 53 - band[doc]).astype(U))
+        d, h = doc[keep], tv.mix(sets[keep] ^ U(0x6A09E667))
+        order = np.lexsort((h, load[(sets[keep] & U(len(load) - 1)).astype(np.int64)], d))
+        d, h = d[order], h[order]
+        n = np.bincount(d, minlength=len(size))
+        spare = np.where(band > 0, np.ceil(4 * np.sqrt(n * threshold * (1 - threshold))).astype(np.int64), 0)
+        rank = np.arange(len(d)) - np.searchsorted(d, d)
+        keep = rank < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1 + spare)[d]
+        docs.append(d[keep])
+        keys.append(tv.mix(h[keep] + band[d[keep]].astype(U)))
+        bands.append((level + step)[d[keep]])
+    return tuple(map(np.concatenate, (docs, keys, bands)))
+
+
+def _prefixes(load, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                tokens = b.column("tokens")
+                first = tokens.offsets.to_numpy().astype(np.int64)
+                doc, key, band = prefixes(tokens.flatten().to_numpy().view(U), first - first[0], load.value, threshold)
+                where = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(n).take(where) for n in ("doc_id", "root")), pa.array(np.diff(first)[doc].astype(np.int32))], names=["key", "doc_id", "root", "size"])
+
+    return run
+
+
+def loads(sets: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """About how many sets hold a token of each cell, as a power of two: a table of fixed size for any number of tokens."""
+    found = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(cells - 1).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    found = found.select("cell", F.log2("n").cast("tinyint").alias("n")).toPandas()
+    out = np.zeros(cells, np.int8)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, wide: int = WIDE) -> DataFrame:
     """(doc_id, keep_id): each document that belongs to a group with another, and the least doc_id of its group.
 
     Groups are the connected components of the pairs whose sets of word
     ``n``-grams have a Jaccard similarity of at least ``threshold``. Words are
     runs of letters and digits, folded for ASCII and Latin-1. A text of fewer
-    than ``n`` words is one gram; a null, empty or wordless text is in no group;
-    a null doc_id is left out; rows that repeat a doc_id count as one document,
-    which is in a pair if one of its rows is. Other columns, whatever
-    their names, are not read. An empty table gives no rows. The keeper has a
-    row too, with its own id twice.
+    than ``n`` words is one gram; a text of any length is read whole; a null,
+    empty or wordless text is in no group; a null doc_id is left out; rows that
+    repeat a doc_id count as one document, which is in a pair if one of its rows
+    is. Equal sets are a pair, and the least doc_id stands for them. Other
+    columns, whatever their names, are not read. An empty table gives no rows.
+    The keeper has a row too, with its own id twice.
 
     In each bucket of equal blocks all members are paired with the first; where
-    that leaves a bucket in more than one component, all pairs across the
+    that leaves a bucket in more than one component, pairs across the
     components are verified as well, so no pair that shares a block is lost and
-    thousands of copies cost no thousands of squares.
+    thousands of copies cost no thousands of squares. Buckets of more than
+    ``wide`` members that are still torn come from blocks of common tokens; their
+    members are joined on their rarest tokens instead, which finds the same
+    pairs without all those of the bucket.
     """
     spark: SparkSession = prepare(docs.sparkSession)
     scratch = Scratch(spark, "parity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    raw = docs.mapInArrow(_keys(n, threshold), "doc_id long, f1 long, f2 long, size int, level int, own int, keys array<long>")
-    same = Window.partitionBy("f1", "f2", "size").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("rep", F.first("doc_id").over(same))
-    table = scratch.keep(raw.select("doc_id", "rep", "size", "level", "own", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "keys")
-    exploded = table.where("doc_id = rep and keys is not null").select("doc_id", "size", "level", "own", F.posexplode("keys").alias("at", "key"))
-    exploded = exploded.select("doc_id", "size", F.when(F.col("at") < F.col("own"), F.col("level")).otherwise(F.col("level") + 1).alias("band"), "key")
-    bucket = Window.partitionBy("key").orderBy("doc_id")
-    cells = exploded.withColumns({"head": F.first("doc_id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("doc_id").over(bucket), "head_size": F.first("size").over(bucket.rowsBetween(Window.unboundedPreceding, 0))})
-    cells = cells.where("head <> doc_id or next <> doc_id")
-    members = scratch.keep(cells.select("key", "band", "doc_id", "size", "head", "head_size"), "members")
+    raw = scratch.keep(docs.mapInArrow(_keys(n, threshold), "doc_id long, f1 long, f2 long, size int, level int, own int, keys array<long>"), "keys")
+    # equal sets: aggregates combine before they shuffle, so a third of all rows may be one group
+    same = ["f1", "f2", "size"]
+    copies = raw.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = scratch.keep(raw.select("doc_id", *same).join(copies, same).where("doc_id <> rep").select("doc_id", "rep", "f1", "f2").distinct(), "equal")
+    table = raw.join(equal.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_anti")
+    exploded = table.select("doc_id", "size", "level", "own", F.posexplode("keys").alias("at", "key"))
+    exploded = scratch.keep(exploded.select("doc_id", "size", F.when(F.col("at") < F.col("own"), F.col("level")).otherwise(F.col("level") + 1).alias("band"), "key"), "cells")
+    heads = exploded.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last").select("key", "head")
+    members = scratch.keep(exploded.join(heads, "key").select("key", "band", "doc_id", "size", "head"), "members")
     ids = scratch.keep(members.select("doc_id").distinct(), "ids")
     wanted = spark.sparkContext.broadcast(id_filter(ids))
     # the bitmap lets nearly only members through, so few sets are moved to the exact join
     sets = scratch.keep(docs.mapInArrow(_sets(n, wanted), SETS).join(ids, "doc_id", "left_semi"), "sets")
-    fits = f"least(size, head_size) >= {threshold} * greatest(size, head_size) - 1e-9"
-    first = members.where(f"doc_id <> head and {fits}").select(F.col("head").alias("a"), F.col("doc_id").alias("b"), "band").distinct()
+    first = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"), "band").distinct()
     near = scratch.keep(pruned(first, sets, threshold), "near1")
     edges = scratch.keep(verified(near, sets, threshold), "edges1")
     label = components(edges, scratch)
     named = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "size", "head", F.coalesce("root", "doc_id").alias("root"))
-    torn = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = named.join(torn, "key", "left_semi")
+    torn = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    open_ = scratch.keep(named.join(torn, "key"), "open")
+    fits = f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9"
     # sketches go with the rows, so that only pairs they don't rule out leave the join
-    open_ = sketched(open_, sets)
-    x, y = open_.alias("x"), open_.alias("y")
-    met = F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.head and least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")
+    few = sketched(open_.where(F.col("n") <= wide).drop("n"), sets)
+    x, y = few.alias("x"), few.alias("y")
+    met = F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.head and {fits}")
     cross = x.join(y, met & within(F.col("x.n"), F.col("y.n"), F.col("x.s"), F.col("y.s"), F.col("x.band"), threshold))
-    cross = scratch.keep(cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near2")
+    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    many = sets.join(open_.where(F.col("n") > wide).select("doc_id", "root").distinct(), "doc_id")
+    load = spark.sparkContext.broadcast(loads(many))
+    rare = many.select("doc_id", "root", "tokens").mapInArrow(_prefixes(load, threshold), "key long, doc_id long, root long, size int")
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and {fits}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    cross = scratch.keep(cross.unionByName(met).distinct(), "near2")
     more = scratch.keep(verified(cross, sets, threshold), "edges2")
-    equal = table.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(edges.unionByName(more).unionByName(equal), scratch)
-    scratch.drop(table, members, ids, sets, near, edges, cross, more)
+    final = components(edges.unionByName(more).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), scratch)
+    scratch.drop(raw, equal, exploded, members, ids, sets, near, edges, open_, cross, more)
     return final.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """The documents without those whose group keeps another one; rows with a null doc_id stay."""
+    """The documents without those whose group keeps another one, with all their columns.
+
+    Rows with a null doc_id, and null, empty or wordless texts, stay; rows that
+    repeat a doc_id stay or go together; an empty table stays empty.
+    """
     gone = near_groups(docs, threshold, n).where("doc_id <> keep_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -78,6 +78,29 @@ def test_near_groups_equal_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+def test_wide_buckets_lose_no_pair(spark):
+    rng, words = np.random.default_rng(31), vocabulary()
+    phrase = list(rng.choice(words, 12))
+    rows = list(corpus(4, 15))
+    for i in range(60):
+        w = [*phrase, *rng.choice(words, int(rng.integers(6, 14)))]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: -1 - i % 3]))]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: r["keep_id"] for r in parity_join.near_groups(frame(spark, rows), wide=2).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_rarest_tokens_of_near_sets_meet():
+    rng = np.random.default_rng(16)
+    load = rng.integers(0, 9, 1 << 8)
+    for a, b, c, times in ((1, 1, 1, 5), (3, 5, 3, 100), (16, 29, 16, 100), (100, 100, 72, 50), (150, 260, 146, 50), (900, 1100, 715, 20), (3000, 3000, 2150, 10)):
+        for _ in range(times):
+            x = rng.integers(0, 2**63, a + b - c, dtype=np.uint64)
+            x, y = np.unique(x[:a]), np.unique(x[a - c :])
+            doc, key, _ = parity_join.prefixes(np.r_[x, y], np.array([0, a, a + b]), load, 0.55)
+            assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), (a, b)
+
+
 def test_one_of_each_keeps_the_least(spark):
     rows = corpus(1, 20)
     groups = brute_groups(rows)
