@@ -36,7 +36,7 @@ THRESHOLD, NGRAM, SAMPLE, BLOCKS, BITS = 0.55, 3, 128, 64, 1024
 #: Sets of fewer tokens join on tokens, not on blocks.
 SMALL = 16
 #: Members of a bucket whose pairs are looked at one by one, and cells of the table of tokens' counts for greater ones.
-WIDE, CELLS = 64, 1 << 20
+WIDE, CELLS = 64, 1 << 18
 #: Bits of the filter of ids, at most: 32 MB.
 FILTER_BITS = 1 << 28
 U = np.uint64
@@ -286,10 +286,16 @@ def _prefixes(load, threshold: float):
 
 def loads(sets: DataFrame, cells: int = CELLS) -> np.ndarray:
     """About how many sets hold a token of each cell, as a power of two: a table of fixed size for any number of tokens."""
-    found = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(cells - 1).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    found = found.select("cell", F.log2("n").cast("tinyint").alias("n")).toPandas()
+    found = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(cells - 1).cast("int").alias("cell")).agg(F.log2(F.count("*")).cast("tinyint").alias("n"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy().tobytes()], pa.binary()) for x in b.columns], names=["cell", "n"])
+
     out = np.zeros(cells, np.int8)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    # a few rows of bytes; the table itself would be a row a cell on the driver
+    for r in found.mapInArrow(packed, "cell binary, n binary").toLocalIterator():
+        out[np.frombuffer(bytes(r["cell"]), np.int32)] = np.frombuffer(bytes(r["n"]), np.int8)
     return out
 
 
