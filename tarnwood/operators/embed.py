@@ -254,21 +254,22 @@ def encode_texts(texts: list[str | None], c: EncoderConfig, idf: HashedIdf | Non
     return unit(y) if c.normalise else y
 
 
-def encode(docs: DataFrame, c: EncoderConfig = V1_384, idf: HashedIdf | None = None, key: str = "doc_id", text: str = "text", rows: int = 256) -> DataFrame:
-    """(key, vec array<float>) of each row: one Arrow stage, ``rows`` texts at a time."""
+def encode(docs: DataFrame, c: EncoderConfig = V1_384, idf: HashedIdf | None = None, key: str = "doc_id", text: str = "text", rows: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, vec array<float>) of each row, with the columns to ``carry`` between them: one Arrow stage, ``rows`` texts at a time."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
+    names = [key, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                v = encode_texts(b.column(1).to_pylist(), c, shared.value).astype(np.float32)
+                v = encode_texts(b.column(len(names)).to_pylist(), c, shared.value).astype(np.float32)
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), vec], names=[key, "vec"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], vec], names=[*names, "vec"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, vec array<float>")
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, vec array<float>")
 
 
 def learn_idf(docs: DataFrame, c: EncoderConfig = COMPACT, buckets: int = 65_536, scope: str = "all", text: str = "text") -> HashedIdf:

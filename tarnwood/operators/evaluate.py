@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwood.functions import vectors as V
+from tarnwood.session import keep, prepare
 
 from . import fusion, rankers
 
@@ -58,33 +64,64 @@ def union_recall(lists: DataFrame, qrels: DataFrame, depth: int = 100) -> DataFr
     return candidate_recall(fusion.pool_union(lists, depth), qrels)
 
 
-def exact_dense(queries: DataFrame, docs: DataFrame, k: int, vec: str = "vec") -> DataFrame:
-    """(query_id, rank, doc_id, score): the documents with the greatest dot products. The query matrix is shared if it is small; each task keeps its own k best, and one window merges them."""
-    import numpy as np
-    import pyarrow as pa
+#: Queries that are shared at once, and the sides of the blocks in which products are taken.
+QUERY_BLOCK, TILE = 20_000, 2_048
 
-    from tarnwood.session import prepare
 
-    spark = prepare(docs.sparkSession)
-    rows = queries.select("query_id", vec).limit(100_001).collect()
-    if len(rows) > 100_000:
-        met = queries.select("query_id", F.col(vec).alias("qv")).crossJoin(docs.select("doc_id", F.col(vec).alias("dv")))
-        return rankers.top(met.select("query_id", "doc_id", V.dot(F.col("qv"), F.col("dv")).alias("score")), k)
-    shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-
-    def run(batches):
-        ids, q = shared.value
-        for b in batches:
-            if not b.num_rows or not len(q):
-                continue
-            x = np.array(b.column(1).to_pylist(), np.float64)
-            s = q @ x.T
-            order = np.lexsort((np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), s.shape), -np.round(s, 8)), axis=1)[:, :k]
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids), n)), b.column(0).take(pa.array(order.reshape(-1))), pa.array(np.take_along_axis(s, order, 1).reshape(-1))], names=["query_id", "doc_id", "score"])
+def nearest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest values of each row, of equal ones those of the first columns."""
+    if s.shape[1] <= k:
+        return np.divmod(np.arange(s.size), max(s.shape[1], 1))
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None]
+    keep = s >= least
+    over = np.flatnonzero(keep.sum(1) > k)
+    if len(over):
+        above, level = s[over] > least[over], s[over] == least[over]
+        keep[over] = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(keep)
+
+
+def exact_dense(queries: DataFrame, docs: DataFrame, k: int, vec: str = "vec") -> DataFrame:
+    """(query_id, rank, doc_id, score): the documents with the greatest dot products.
 
+    Queries are shared with the tasks in blocks of ``QUERY_BLOCK``, each of which
+    is one pass over the documents; tasks keep the k best of each of their tiles,
+    and one window merges them.
+    """
+    spark = prepare(docs.sparkSession)
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    return rankers.top(docs.select("doc_id", vec).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), k)
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+
+    def found(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], np.float64)))
+
+        def run(batches):
+            ids, q = shared.value
+            ids = pa.array(ids)
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(q) else 0, TILE):
+                    b = whole.slice(at, TILE)
+                    b = b.take(pc.sort_indices(b.column(0)))
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    for c in range(0, len(q), TILE):
+                        s = q[c : c + TILE] @ x.T
+                        i, j = nearest(np.round(s, 8), k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(c + i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+
+        return docs.select("doc_id", vec).mapInArrow(run, schema)
+
+    rows, out = queries.select("query_id", vec).toLocalIterator(), None
+    while True:
+        block = list(itertools.islice(rows, QUERY_BLOCK))
+        if out is not None and not block:
+            break
+        part = rankers.top(found(block), k)
+        if out is None and len(block) < QUERY_BLOCK:
+            return part
+        # what is written needs its block no more, so the driver holds one at a time
+        part = keep(part, "nearest")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def cluster_separation(vectors: DataFrame, label: str = "label", vec: str = "vec") -> DataFrame:
@@ -99,18 +136,29 @@ def cluster_separation(vectors: DataFrame, label: str = "label", vec: str = "vec
     return per.join(n, label).crossJoin(F.broadcast(total)).select(label, "n", F.when(m > 1, (F.col("ss") - F.col("q")) / (m * (m - 1))).alias("intra"), F.when(F.col("total") > m, F.col("st") / (m * (F.col("total") - m))).alias("inter"))
 
 
+def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name) of each distinct value: the average of the ranks of its rows.
+
+    Counts of values are sorted by ranges; ranks add up inside each range, and a
+    row a range carries them on, so no task holds all values.
+    """
+    counts = df.groupBy(column).agg(F.count("*").alias("__n")).orderBy(column).withColumn("__p", F.spark_partition_id())
+    counts = keep(counts, "ranks")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("__p").agg(F.sum("__n").alias("__s")).select("__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("__c", F.sum("__n").over(inside)).join(F.broadcast(ranges), "__p").select(column, (F.col("__o") + F.col("__c") - (F.col("__n") - 1) / 2).alias(name))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: the rank correlation of two columns, ties at their average rank."""
-    ranked = df
-    for c in (a, b):
-        w = Window.orderBy(c)
-        ties = Window.partitionBy(c)
-        ranked = ranked.withColumn(f"__{c}", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
-    return ranked.agg(F.corr(f"__{a}", f"__{b}").alias("rho"), F.count("*").alias("n"))
+    """One row: the rank correlation of two columns, ties at their average rank; rows with a null in either are left out."""
+    pairs = df.select(F.col(a).alias("__x"), F.col(b).alias("__y")).where("__x is not null and __y is not null")
+    ranked = pairs.join(average_ranks(pairs, "__x", "__a"), "__x").join(average_ranks(pairs, "__y", "__b"), "__y")
+    return ranked.agg(F.corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
 
 
 def latency_summary(times: DataFrame, value: str = "us", by: str = "variant") -> DataFrame:
-    """(by, mean, p50, p95): nearest-rank percentiles, the values at rank ceil(p * n)."""
-    r = times.withColumns({"__rn": F.row_number().over(Window.partitionBy(by).orderBy(value)), "__n": F.count("*").over(Window.partitionBy(by))})
-    at = lambda p: F.max(F.when(F.col("__rn") == F.ceil(F.col("__n") * p), F.col(value)))
-    return r.groupBy(by).agg(F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """(by, mean, p50, p95): nearest-rank percentiles, the values at rank ceil(p * n), counted by value and not sorted as rows."""
+    kind = times.schema[value].dataType
+    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})").cast(kind)
+    return times.groupBy(by).agg(F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))

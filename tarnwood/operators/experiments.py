@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwood.functions import vectors as V
+from tarnwood.session import keep
 
 from . import embed, evaluate, fragments, fusion, geometry, rankers
 from . import lexindex as lx
@@ -208,21 +209,20 @@ def family_atlas(docs: DataFrame, queries: DataFrame, mode: str = "independent",
     legs = fusion.legs(char=chart("char"), word=chart("word"))
     if mode == "rrf":
         return fusion.rrf(legs)
-    return fusion.convex_z(fusion.over_pool(legs, fusion.pool_union(legs, depth)), {"char": 0.5, "word": 0.5})
+    return fusion.convex_z(fusion.over_pool(legs, fusion.pool_union(legs, depth), ["char", "word"]), {"char": 0.5, "word": 0.5})
 
 
 def six_leg_fusion(docs: DataFrame, queries: DataFrame, config: embed.EncoderConfig = embed.COMPACT, per_leg: int = 100) -> DataFrame:
     """(query_id, doc_id, score): 0.6 z(backoff dependence) + 0.4 z(Atire dependence) over the union of six legs' pools."""
     rows = lx.words(docs)
-    atire = rankers.score(docs, queries, "atire")
-    wsdm = rankers.score(docs, queries, "wsdm")
-    sab = rankers.score(docs, queries, "sab")
+    # each leg is read several times below
+    atire, wsdm, sab = (keep(rankers.score(docs, queries, v), v) for v in ("atire", "wsdm", "sab"))
     pairs = rankers.summed(wsdm, rankers.weighted(atire, -rankers.DEFAULT.unigram))
     wsdm_sab = rankers.summed(rankers.weighted(sab, rankers.DEFAULT.unigram), pairs)
     frags = fragments.build(docs, lx.build(rows).stats, config)
     geom = geometry.rerank(atire, queries, docs, embed.encode(queries, config, key="query_id"), frags, geometry.GeometryConfig(alpha=0.0, pool=per_leg))
-    variants = fusion.rrf(fusion.legs(**{v: rankers.score(docs, queries, v) for v in ("atire", "plus", "bm25l", "dlh13", "dcm")}))
+    variants = fusion.rrf(rankers.score_many(docs, queries, ("atire", "plus", "bm25l", "dlh13", "dcm")))
     lists = fusion.legs(atire=atire, wsdm=wsdm, sab=sab, wsdm_sab=wsdm_sab, geometry=geom, rrf=variants)
     pool = fusion.pool_union(lists, per_leg)
-    two = fusion.over_pool(fusion.legs(wsdm=wsdm, wsdm_sab=wsdm_sab), pool)
+    two = fusion.over_pool(fusion.legs(wsdm=wsdm, wsdm_sab=wsdm_sab), pool, ["wsdm", "wsdm_sab"])
     return fusion.convex_z(two, {"wsdm_sab": 0.6, "wsdm": 0.4})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwood.session import keep
+
 from . import lexindex as lx
 from . import rankers
 from .rankers import DEFAULT, Params
@@ -55,7 +57,8 @@ def rm3(docs: DataFrame, queries: DataFrame, k: int = 10, n_terms: int = 20, alp
         return first
     rows, asked = lx.words(docs), lx.query_words(queries)
     used = feedback_docs(first, k) if feedback is None else normalised(feedback)
-    model = strongest(relevance_model(rows, used), n_terms)
+    # a few terms a query, read three times below
+    model = keep(strongest(relevance_model(rows, used), n_terms), "feedback")
     helped = model.select("query_id").distinct()
     again = rankers.score_terms(rows, expanded(asked.join(helped, "query_id", "left_semi"), model, alpha), variant, p)
     return again.unionByName(first.join(helped, "query_id", "left_anti"))

@@ -7,17 +7,21 @@ each document's few candidates.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwood.functions import text as T
-from tarnwood.session import prepare
+from tarnwood.functions import vectors as V
+from tarnwood.session import keep, prepare
 
-from . import embed, strategies, textrank
+from . import embed, pairs, strategies, textrank
 
-BUILDERS = ("basic", "rich", "rich_covered", "rich_mmr", "rich_asymmetric", "rich_budgeted")
+WORD_VECTORS = ("richcov_sif", "richcov_bsif")
+BUILDERS = ("basic", "rich", "rich_covered", "rich_mmr", "rich_asymmetric", "rich_budgeted", *WORD_VECTORS)
 
 
 def ranked_sentences(docs: DataFrame, top: int = 4, position: float = 0.0) -> DataFrame:
@@ -93,57 +97,119 @@ def choose(sigs: list[dict], anchors: int, builder: str = "rich_covered", senten
     return kept or [0]
 
 
-def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed.COMPACT, builder: str = "rich_covered", top: int = 4, terms: int = 8, position: float = 0.0, **caps) -> DataFrame:
+def assembled(sentences: list, doc, builder: str, terms: int, **caps) -> list[tuple[str, np.ndarray, dict]]:
+    """(kind, vector, signature) of the fragments of one document that stay.
+
+    ``sentences`` are (vector, signature) by rank, ``doc`` those of the whole
+    text. The builders on word vectors give the centroid the greatest weights
+    of all sentences, and the whole text its short signature.
+    """
+    unit = lambda v: float(np.sqrt((v**2).sum()))
+    found = [("sentence", v, s) for v, s in sentences if unit(v) > 0 and s]
+    whole = doc[1]
+    short = dict(sorted(whole.items(), key=lambda kv: (-kv[1], kv[0]))[:terms])
+    own = builder in WORD_VECTORS
+    alone = not found
+    if builder != "basic" or alone:
+        if len(found) >= 2:
+            c = np.mean([v for _, v, _ in found], axis=0)
+            sig = functools.reduce(lambda a, b: merge_max(a, b, max(2 * terms, terms + 4)), (s for *_, s in found), {}) if own else short
+            if unit(c) > 0 and sig:
+                found.append(("centroid", c / unit(c), sig))
+        if unit(doc[0]) > 0 and whole and (not own or alone or len(found) >= 2):
+            found.append(("document", doc[0], short if own or builder == "basic" else whole))
+    keep = choose([s for *_, s in found], 0, "rich_covered" if own else builder, **caps) if found else []
+    return [found[i] for i in keep]
+
+
+def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed.COMPACT, builder: str = "rich_covered", top: int = 4, terms: int = 8, position: float = 0.0, table: DataFrame | None = None, bigrams: float = 0.5, **caps) -> DataFrame:
     """(doc_id, frag_idx, kind, vec, sig): the fragments of each document, vectors from the encoder.
 
     ``rich`` builders add the normalised mean of two or more sentence vectors
     and the whole document; a document without sentences is its own fragment.
+    ``richcov_sif`` and ``richcov_bsif`` take weighted word vectors from
+    ``table(token, vec)``, the latter with products of neighbours; without a
+    table they are ``rich_covered``. Texts are ranked once, and a document's few
+    fragments meet in one row.
     """
     if builder not in BUILDERS:
         raise ValueError(f"no builder {builder!r}")
     prepare(docs.sparkSession)
-    parts = candidates(docs, stats, top, terms, position)
-    vectors = embed.encode(parts.withColumn("fkey", F.to_json(F.struct("doc_id", "place"))), config, key="fkey")
-    full = parts.withColumn("fkey", F.to_json(F.struct("doc_id", "place"))).join(vectors, "fkey").drop("fkey", "text")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        doc, rows = group[group.kind == "document"].iloc[0], group[group.kind == "sentence"]
-        norm = lambda v: float(np.sqrt((np.asarray(v, float) ** 2).sum()))
-        rows = rows[np.array([norm(v) > 0 for v in rows.vec], bool)]
-        found = [("sentence", np.asarray(v, float), dict(s)) for v, s in zip(rows.vec, rows.sig)]
-        anchors = 0
-        if builder != "basic" or not found:
-            whole = dict(doc.sig)
-            short = dict(sorted(whole.items(), key=lambda kv: (-kv[1], kv[0]))[:terms])
-            if len(found) >= 2:
-                c = np.mean([v for _, v, _ in found], axis=0)
-                if norm(c) > 0:
-                    found.append(("centroid", c / norm(c), short))
-                    anchors += 1
-            if norm(doc.vec) > 0 and whole:
-                found.append(("document", np.asarray(doc.vec, float), whole if builder != "basic" else short))
-                anchors += 1
-        keep = choose([s for *_, s in found], anchors, builder, **caps) if found else []
-        if not keep:
-            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("doc_id", group.doc_id.dtype), ("frag_idx", "int32"), ("kind", object), ("vec", object), ("sig", object))})
-        objects = lambda v: pd.Series(v, dtype=object)
-        return pd.DataFrame({"doc_id": [doc.doc_id] * len(keep), "frag_idx": range(len(keep)), "kind": objects([found[i][0] for i in keep]), "vec": objects([found[i][1].tolist() for i in keep]), "sig": objects([found[i][2] for i in keep])})
-
+    if builder in WORD_VECTORS and table is None:
+        builder = "rich_covered"
+    parts = keep(candidates(docs, stats, top, terms, position), "candidates")
+    if builder in WORD_VECTORS:
+        worded = parts.withColumn("terms", T.terms("text"))
+        encoded = sif_vectors(worded, table, stats, bigrams if builder == "richcov_bsif" else 0.0, carry=("place", "sig"))
+    else:
+        encoded = embed.encode(parts, config, carry=("place", "sig"))
+    rows = encoded.groupBy("doc_id").agg(F.collect_list(F.struct("place", "vec", "sig")).alias("parts"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return full.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, frag_idx int, kind string, vec array<double>, sig map<string,double>")
-
-
-def sif_vectors(sentences: DataFrame, table: DataFrame, stats: DataFrame, bigrams: float = 0.0) -> DataFrame:
-    """(doc_id, vec) of ``sentences(doc_id, terms)``: word vectors weighted by max(idf, 0.1), plus products of neighbours' vectors where asked, at unit length. Texts without a known word have no row."""
-    tok = sentences.select("doc_id", F.posexplode("terms").alias("pos", "token")).join(table, "token").join(stats.select(F.col("term").alias("token"), "idf"), "token", "left")
-    tok = tok.withColumn("w", F.greatest(F.coalesce("idf", F.lit(0.0)), F.lit(0.1)))
-    parts = tok.select("doc_id", F.transform("vec", lambda x: x * F.col("w")).alias("vec"))
-    if bigrams:
-        order = Window.partitionBy("doc_id").orderBy("pos")
-        two = tok.select("doc_id", "pos", "w", "vec", F.lag("vec").over(order).alias("pv"), F.lag("w").over(order).alias("pw"), F.lag("pos").over(order).alias("pp")).where("pp = pos - 1")
-        parts = parts.unionByName(two.select("doc_id", F.zip_with("vec", "pv", lambda a, b: a * b * F.lit(bigrams) * F.sqrt(F.col("w") * F.col("pw"))).alias("vec")))
-    from tarnwood.functions import vectors as V
-
-    long_ = parts.select("doc_id", F.posexplode("vec").alias("dim", "x")).groupBy("doc_id", "dim").agg(F.sum("x").alias("x"))
-    return long_.groupBy("doc_id").agg(V.l2_normalize(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])).alias("vec"))
+    schema = f"doc_id {kind}, frag_idx int, kind string, vec array<double>, sig map<string,double>"
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out: list[list] = [[], [], [], [], []]
+                for doc_id, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    made = [(p["place"], np.asarray(p["vec"], float), dict(p["sig"])) for p in sorted(group, key=lambda p: p["place"])]
+                    doc = next((m[1:] for m in made if m[0] == 0), (np.zeros(0), {}))
+                    for i, (what, v, sig) in enumerate(assembled([m[1:] for m in made if m[0]], doc, builder, terms, **caps)):
+                        for column, value in zip(out, (doc_id, i, what, v, list(sig.items()))):
+                            column.append(value)
+                kinds = [b.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.float64()), pa.map_(pa.string(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "frag_idx", "kind", "vec", "sig"])
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Word vectors of more words than this are not shared with the tasks.
+MOST_WORDS = 200_000
+
+
+def sif_vectors(sentences: DataFrame, table: DataFrame, stats: DataFrame, bigrams: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, vec) of ``sentences(doc_id, terms)``, with the columns to ``carry`` between them.
+
+    Word vectors weighted by max(idf, 0.1), plus products of neighbours' vectors
+    where asked, at unit length; zeros for a text without a known word. The word
+    table has a bounded vocabulary, is counted, and is shared with its weights.
+    """
+    spark = prepare(sentences.sparkSession)
+    weight = F.greatest(F.coalesce("idf", F.lit(0.0)), F.lit(0.1))
+    known = table.join(stats.select(F.col("term").alias("token"), "idf"), "token", "left").select("token", "vec", weight.alias("w"))
+    rows = sorted(known.limit(MOST_WORDS + 1).collect(), key=lambda r: r["token"])
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"over {MOST_WORDS} words")
+    dim = len(rows[0]["vec"]) if rows else 0
+    shared = spark.sparkContext.broadcast((pa.array([r["token"] for r in rows], pa.string()), np.array([r["vec"] for r in rows], float).reshape(len(rows), dim), np.array([r["w"] for r in rows], float)))
+    names = ["doc_id", *carry]
+
+    def run(batches):
+        vocab, x, w = shared.value
+        for whole in batches:
+            for b in pairs.slices(whole, max(1_000, 4_000_000 // max(1, dim))):
+                ids, row = pairs.numbered(b.column("terms"), vocab)
+                out = np.zeros((b.num_rows, dim))
+                live = ids >= 0
+                np.add.at(out, row[live], x[ids[live]] * w[ids[live]][:, None])
+                if bigrams:
+                    i, j, r = pairs.within(ids, row, 1)
+                    np.add.at(out, r, x[i] * x[j] * (bigrams * np.sqrt(w[i] * w[j]))[:, None])
+                n = np.sqrt((out * out).sum(1, keepdims=True))
+                out = np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), vec], names=[*names, "vec"])
+
+    kinds = ", ".join(f"{n} {sentences.schema[n].dataType.simpleString()}" for n in names)
+    return sentences.select(*names, "terms").mapInArrow(run, f"{kinds}, vec array<double>")
+
+
+def packed(fragments: DataFrame) -> DataFrame:
+    """The fragments with vectors of half the size: the upper halves of single floats."""
+    return fragments.withColumn("vec", V.to_bf16(F.col("vec").cast("array<float>")))
+
+
+def unpacked(fragments: DataFrame) -> DataFrame:
+    """Packed fragments with vectors of floats again, as reranking takes them."""
+    return fragments.withColumn("vec", V.from_bf16(F.col("vec")))

@@ -57,9 +57,9 @@ def pool_union(lists: DataFrame, per_leg: int) -> DataFrame:
     return lists.withColumn("rank", rank).where(F.col("rank") <= per_leg).select("query_id", "doc_id").distinct()
 
 
-def over_pool(lists: DataFrame, pool: DataFrame) -> DataFrame:
-    """Each leg's scores on the pool, 0 where a leg has none: what z-scores over a pool need."""
-    every = lists.select("leg").distinct().crossJoin(pool)
+def over_pool(lists: DataFrame, pool: DataFrame, names: list[str]) -> DataFrame:
+    """The scores of each of the legs named on the pool, 0 where a leg has none: what z-scores over a pool need."""
+    every = pool.withColumn("leg", F.explode(F.array(*map(F.lit, names))))
     return every.join(lists, ["leg", "query_id", "doc_id"], "left").fillna(0.0, ["score"])
 
 

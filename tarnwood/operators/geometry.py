@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tarnwood.functions import vectors as V
 
-from . import fusion, rankers, topology
+from . import evaluate, fusion, rankers, topology
 
 SCORERS = ("max", "mean", "top_k_mean", "soft_max", "geo_mean")
 
@@ -165,8 +165,7 @@ def rerank(scores: DataFrame, queries: DataFrame, docs: DataFrame, query_vectors
     """
     pool = rankers.top_dense(scores, queries, docs, c.pool).select("query_id", "doc_id", "score")
     if c.dense_pool and doc_vectors is not None:
-        near = query_vectors.withColumnRenamed("vec", "qv").crossJoin(doc_vectors.withColumnRenamed("vec", "dv"))
-        near = rankers.top(near.select("query_id", "doc_id", V.dot(F.col("qv"), F.col("dv")).alias("score")), c.dense_pool).select("query_id", "doc_id")
+        near = evaluate.exact_dense(query_vectors, doc_vectors, c.dense_pool).select("query_id", "doc_id")
         more = near.join(pool, ["query_id", "doc_id"], "left_anti").join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
         pool = pool.unionByName(more.select("query_id", "doc_id", "score"))
     rows = pool_fragments(pool.select("query_id", "doc_id"), fragments, c.per_doc).join(query_vectors.withColumnRenamed("vec", "qv"), "query_id")

@@ -23,11 +23,15 @@ def gram_hashes(docs: DataFrame, least: int = 3, most: int = 5, seed: int = 0, f
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                buf = np.frombuffer((t or "").encode(), np.uint8)
-                h, n = np.unique(np.concatenate([H.window_hashes(buf, g, seed, family) for g in range(least, most + 1)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), b.schema.field(0).type), pa.array((h >> np.uint64(32)).astype(np.int64)), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["doc_id", "high", "low", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b, found = whole.slice(at, 200), []
+                for t in b.column(1).to_pylist():
+                    buf = np.frombuffer((t or "").encode(), np.uint8)
+                    found.append(np.unique(np.concatenate([H.window_hashes(buf, g, seed, family) for g in range(least, most + 1)]), return_counts=True))
+                h, n = (np.concatenate(x) for x in zip(*found))
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _ in found])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((h >> np.uint64(32)).astype(np.int64)), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["doc_id", "high", "low", "n"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, high long, low long, n long")
 

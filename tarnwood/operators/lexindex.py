@@ -47,6 +47,11 @@ class LexIndex:
         return keyed.join(found, "__t", "left").drop("__t").fillna(0, ["df", "ttf", "idf"])
 
 
+def occurrences(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns and ``term``, one row for each of ``terms``. The outer form is taken because the plain one has the terms made twice, once to see whether there are any."""
+    return rows.select(*names, F.explode_outer("terms").alias("term")).where("term is not null")
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
 
@@ -60,7 +65,7 @@ def build(rows: DataFrame, wanted: DataFrame | None = None, max_df_ratio: float
     sized = rows.select("doc_id", "terms", F.size("terms").cast("long").alias("dl"))
     docs = sized.select("doc_id", "dl")
     corpus = corpus_stats(docs)
-    flat = sized.select("doc_id", "dl", F.explode("terms").alias("term"))
+    flat = occurrences(sized, "doc_id", "dl")
     if wanted is not None:
         flat = flat.join(wanted.select("term").distinct(), "term", "left_semi")
     postings = flat.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
@@ -71,8 +76,15 @@ def build(rows: DataFrame, wanted: DataFrame | None = None, max_df_ratio: float
     return LexIndex(docs, postings, stats.select("term", "df", "ttf", "idf"), corpus)
 
 
+def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with their folded words as ``terms``, which every operator here takes instead of splitting the text again."""
+    return docs.withColumn("terms", T.terms(text))
+
+
 def words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, terms): the folded words of each document."""
+    """(doc_id, terms): the folded words of each document; those of ``tokenised`` documents are there already."""
+    if text == "text" and "terms" in docs.columns and docs.schema["terms"].dataType.simpleString() == "array<string>":
+        return docs.select(F.col(key).alias("doc_id"), "terms")
     return docs.select(F.col(key).alias("doc_id"), T.terms(text).alias("terms"))
 
 
@@ -93,6 +105,32 @@ def unordered(rows: DataFrame, window: int = 8) -> DataFrame:
     return derived(rows, lambda t: T.unordered_bigrams(t, window))
 
 
+def gram_index(rows: DataFrame, wanted: DataFrame, least: int = 3, most: int = 4, max_df_ratio: float = 0.0) -> LexIndex:
+    """The index of the character n-grams of all terms, for those n-grams that are ``wanted(term)``.
+
+    Grams are made of each distinct term once, not of each occurrence, and met
+    with the postings of words; lengths come from the terms' sizes.
+    """
+    size = lambda t: sum((F.greatest(F.length(t) - (k - 1), F.lit(0)) for k in range(least, most + 1)), F.lit(0))
+    docs = rows.select("doc_id", F.aggregate("terms", F.lit(0).cast("long"), lambda acc, t: acc + size(t)).alias("dl"))
+    flat = occurrences(rows, "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    parts = flat.select("term").distinct().select(F.col("term").alias("word"), F.explode(T.grams_of(F.col("term"), least, most)).alias("term"))
+    parts = parts.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("word", "term").agg(F.count("*").alias("c"))
+    tf = flat.withColumnRenamed("term", "word").join(parts, "word").groupBy("term", "doc_id").agg(F.sum(F.col("n") * F.col("c")).alias("tf"))
+    return from_postings(docs, tf, max_df_ratio)
+
+
+def from_postings(docs: DataFrame, tf: DataFrame, max_df_ratio: float = 0.0, corpus: DataFrame | None = None) -> LexIndex:
+    """The index of counts ``tf(term, doc_id, tf)`` in ``docs(doc_id, dl)``."""
+    corpus = corpus_stats(docs) if corpus is None else corpus
+    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf")).crossJoin(F.broadcast(corpus)).withColumn("idf", F.expr(IDF))
+    if max_df_ratio:
+        stats = stats.where(F.col("df") <= F.floor(F.lit(max_df_ratio) * F.col("n")))
+        tf = tf.join(stats.select("term"), "term", "left_semi")
+    sized = docs.groupBy("doc_id").agg(F.sum("dl").alias("dl"))
+    return LexIndex(docs, tf.join(sized, "doc_id").select("term", "doc_id", "dl", "tf"), stats.select("term", "df", "ttf", "idf"), corpus)
+
+
 def lead_field(docs: DataFrame, n: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, terms) of the auxiliary field made of the first tokens."""
     return docs.select(F.col(key).alias("doc_id"), T.terms(T.lead_tokens(text, n)).alias("terms"))
@@ -105,4 +143,4 @@ def query_words(queries: DataFrame) -> DataFrame:
 
 def query_terms(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     """(query_id, term, qtf) of ``rows(query_id, terms)``: a repeated term counts as often as it occurs."""
-    return rows.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg((F.count("*") if weight is None else F.sum(weight)).alias("qtf"))
+    return occurrences(rows, "query_id").groupBy("query_id", "term").agg((F.count("*") if weight is None else F.sum(weight)).alias("qtf"))

@@ -26,20 +26,26 @@ def bin_minima(text: bytes, k: int = 256, least: int = 3, most: int = 5, seed: i
 
 
 def densify(slots: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Empty bins borrow from the next filled one at a keyed stride, mixed with its distance; bins filled so may lend in turn."""
-    k, out = len(slots), [int(x) for x in slots]
+    """Empty bins borrow from the next filled one at a keyed stride, mixed with its distance; bins filled so may lend in turn.
+
+    ``slots`` has a row a document, or is one row. Bins are gone through in
+    order, all rows at once; a bin that a row has filled costs that row nothing.
+    """
+    out = np.array(slots, np.int64, ndmin=2)
+    k = out.shape[1]
     step = int(H.mix(U(seed))) | 1
+    turns = np.arange(1, k + 1)
     for i in range(k):
-        if out[i] != EMPTY:
+        rows = np.flatnonzero(out[:, i] == EMPTY)
+        if not len(rows):
             continue
-        for r in range(1, k + 1):
-            donor = out[((i + r * step) & 0xFFFFFFFF) % k]
-            if donor != EMPTY:
-                out[i] = int(H.mix(U(donor << 32 | r))) & 0xFFFFFFFF
-                break
-        else:
-            out[i] = int(H.mix(U(seed ^ i))) & 0xFFFFFFFF
-    return np.array(out, np.int64)
+        places = ((i + turns * step) & 0xFFFFFFFF) % k
+        filled = out[rows][:, places] != EMPTY
+        r = filled.argmax(1)
+        lent = out[rows, places[r]].astype(U) << U(32) | turns[r].astype(U)
+        value = np.where(filled.any(1), H.mix(lent), H.mix(U(seed ^ i)))
+        out[rows, i] = (value & U(0xFFFFFFFF)).astype(np.int64)
+    return out.reshape(np.shape(slots))
 
 
 def signatures(docs: DataFrame, k: int = 256, least: int = 3, most: int = 5, seed: int = 0, family: str = "splitmix64", dense: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,7 +57,8 @@ def signatures(docs: DataFrame, k: int = 256, least: int = 3, most: int = 5, see
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [bin_minima((t or "").encode(), k, least, most, seed, family) for t in b.column(1).to_pylist()]
-            flat = np.concatenate([densify(r, seed) if dense else r for r in rows]) if rows else np.empty(0, np.int64)
+            flat = np.stack(rows) if rows else np.empty((0, k), np.int64)
+            flat = (densify(flat, seed) if dense and rows else flat).reshape(-1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k), pa.array(flat))], names=[key, "signature"])
 
     kind = docs.schema[key].dataType.simpleString()

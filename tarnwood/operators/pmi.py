@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pairs
+
 #: More PPMI cells than this are not brought to the driver for factorisation.
 MOST_CELLS = 50_000_000
 
@@ -19,17 +21,10 @@ def vocabulary(rows: DataFrame, least: int = 5, most: int = 50_000) -> DataFrame
 def cooccurrence(rows: DataFrame, vocab: DataFrame, window: int = 5) -> DataFrame:
     """(a, b, n), a <= b: how often two vocabulary words stand at most ``window`` positions apart, either way; other words keep their places.
 
-    Pairs are made inside each row and filtered by the vocabulary before they are shuffled.
+    Pairs are counted inside each row, of words of the vocabulary alone; the vocabulary is shared, so its size is bounded by ``vocabulary``.
     """
-    t, pairs = F.col("terms"), []
-    for d in range(1, window + 1):
-        n = F.greatest(F.size(t) - d, F.lit(0))
-        pairs.append(F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(d + 1), n), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
-    flat = rows.select(F.explode(F.concat(*pairs)).alias("p")).select("p.a", "p.b")
-    known = vocab.select("token")
-    flat = flat.join(known.withColumnRenamed("token", "a"), "a", "left_semi").join(known.withColumnRenamed("token", "b"), "b", "left_semi")
     # seen from both ends, a pair of unlike words counts twice; so does a pair of like ones
-    return flat.groupBy("a", "b").agg((2 * F.count("*")).alias("n"))
+    return pairs.cooccurring(rows, vocab, window).withColumn("n", 2 * F.col("n"))
 
 
 def ppmi(cooc: DataFrame, shift: float = 0.0) -> DataFrame:

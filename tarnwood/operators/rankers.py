@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwood.functions import text as T
+from tarnwood.session import keep
 
 from . import lexindex as lx
+from . import pairs
 from .lexindex import LexIndex
 
 
@@ -119,6 +121,15 @@ def score(docs: DataFrame, queries: DataFrame, variant: str = "atire", p: Params
     return summed(contributions(terms, lx.build(rows, terms), expression(variant, p)))
 
 
+def score_many(docs: DataFrame, queries: DataFrame, variants: tuple[str, ...], p: Params = DEFAULT) -> DataFrame:
+    """(leg, query_id, doc_id, score) of several one-term variants by one scoring join, which sums all their expressions."""
+    terms = lx.query_terms(lx.query_words(queries))
+    index = lx.build(lx.words(docs), terms)
+    met = terms.join(index.stats, "term").join(index.postings, "term").crossJoin(F.broadcast(index.corpus))
+    sums = met.groupBy("query_id", "doc_id").agg(*[F.sum(F.col("qtf") * F.expr(expression(v, p))).alias(v) for v in variants])
+    return sums.unpivot(["query_id", "doc_id"], list(variants), "leg", "score").select("leg", "query_id", "doc_id", "score")
+
+
 def score_terms(rows: DataFrame, terms: DataFrame, variant: str = "atire", p: Params = DEFAULT) -> DataFrame:
     """Scores of weighted terms (query_id, term, qtf); weights of 0 or less are skipped. Backoff counts as BM25+, layered as Atire."""
     own = {"sab": "plus", "layered": "atire", "layered_w": "atire"}.get(variant, variant)
@@ -137,28 +148,42 @@ def subword_backoff(rows: DataFrame, asked: DataFrame, p: Params = DEFAULT) -> D
     pieces = split.where("share < 1").select("query_id", F.explode(own).alias("term"), (F.col("qtf") * (1 - F.col("share"))).alias("w"))
     pieces = pieces.groupBy("query_id", "term").agg(F.sum("w").alias("qtf"))
     wanted = terms.select(F.explode(T.grams_of(F.col("term"), p.gram_min, p.gram_max)).alias("term"))
-    grams = lx.build(lx.grams(rows, p.gram_min, p.gram_max), wanted, p.gram_prune)
+    grams = lx.gram_index(rows, wanted, p.gram_min, p.gram_max, p.gram_prune)
     plus = expression("plus", p)
     return summed(contributions(exact, index, plus), contributions(pieces, grams, plus))
 
 
-def _pair_leg(rows: DataFrame, pairs: DataFrame, corpus: DataFrame, lengths: DataFrame, p: Params, weight: float, weighted_pairs: bool) -> DataFrame:
+#: More distinct pairs of a query set than this are not shared with the tasks; they are joined instead.
+MOST_PAIRS = 1_000_000
+
+
+def _pair_postings(rows: DataFrame, near: DataFrame, loose: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(term, doc_id, tf) of the ordered and of the unordered pairs."""
+    n = near.select("term").unionByName(loose.select("term")).distinct().limit(MOST_PAIRS + 1).count()
+    if n > MOST_PAIRS:
+        count = lambda df, terms: lx.build(df, terms).postings.select("term", "doc_id", "tf")
+        return count(lx.ordered(rows), near), count(lx.unordered(rows, window), loose)
+    both = keep(pairs.counted(rows, near, loose, window), "pairs")
+    return tuple(both.where(F.col("leg") == leg).drop("leg") for leg in (0, 1))
+
+
+def _pair_leg(tf: DataFrame, asked: DataFrame, words: LexIndex, p: Params, weight: float, weighted_pairs: bool) -> DataFrame:
     """One bigram leg: Atire on bigram counts with the lengths in words."""
-    index = lx.build(rows, pairs)
-    index = LexIndex(index.docs, index.postings.drop("dl").join(lengths, "doc_id"), index.stats, index.corpus)
-    terms = pairs
+    index = lx.from_postings(words.docs, tf, corpus=words.corpus)
+    terms = asked
     if weighted_pairs:
-        known = pairs.join(index.stats.select("term", "idf"), "term")
+        known = asked.join(index.stats.select("term", "idf"), "term")
         mean = known.groupBy("query_id").agg((F.sum(F.col("idf") * F.col("qtf")) / F.sum("qtf")).alias("mean"))
         terms = known.join(mean, "query_id").select("query_id", "term", (F.col("qtf") * F.pow(F.col("idf") / F.col("mean"), F.lit(p.beta))).alias("qtf"))
-    return weighted(contributions(terms, index, expression("atire", p), corpus), weight)
+    return weighted(contributions(terms, index, expression("atire", p)), weight)
 
 
 def dependence(rows: DataFrame, asked: DataFrame, p: Params = DEFAULT, variant: str = "atire", weighted_pairs: bool = False) -> DataFrame:
     """Sequential dependence: terms, ordered neighbours, and pairs within a window.
 
     With ``weighted_pairs`` each pair's weight is scaled by (idf / mean idf of
-    the query's pairs of that leg) ** beta.
+    the query's pairs of that leg) ** beta. One pass over the documents counts
+    both kinds of pairs.
     """
     terms = lx.query_terms(asked)
     index = lx.build(rows, terms)
@@ -166,10 +191,10 @@ def dependence(rows: DataFrame, asked: DataFrame, p: Params = DEFAULT, variant:
     loose = asked.select("query_id", F.filter(T.unordered_bigrams(F.col("terms"), 1), lambda x: F.element_at(F.split(x, " "), 1) != F.element_at(F.split(x, " "), 2)).alias("terms"))
     loose = lx.query_terms(loose)
     parts = [weighted(contributions(terms, index, expression(variant, p)), p.unigram)]
-    if p.ordered:
-        parts.append(_pair_leg(lx.ordered(rows), near, index.corpus, index.docs, p, p.ordered, weighted_pairs))
-    if p.unordered:
-        parts.append(_pair_leg(lx.unordered(rows, p.window), loose, index.corpus, index.docs, p, p.unordered, weighted_pairs))
+    if p.ordered or p.unordered:
+        for tf, asked_pairs, w in zip(_pair_postings(rows, near, loose, p.window), (near, loose), (p.ordered, p.unordered)):
+            if w:
+                parts.append(_pair_leg(tf, asked_pairs, index, p, w, weighted_pairs))
     return summed(*parts)
 
 

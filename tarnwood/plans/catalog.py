@@ -18,6 +18,8 @@ from tarnwood.functions import vectors as V
 from tarnwood.operators import bpe, dictmatch, embed, evaluate, experiments, feedback, fragments, fusion, geometry, minhash, pmi, pq, rankers, routing, strategies, textrank, topology
 from tarnwood.operators import lexindex as lx
 
+from tarnwood.session import keep
+
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: What was written for the tables of a folder, by session, folder and the state of its files.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """The tables as the operators want them."""
 
@@ -37,10 +43,29 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def state(self, name: str) -> tuple:
+        """The number of files of a table, their bytes and the time of the last change."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        sizes = fs.getContentSummary(at)
+        return sizes.getFileCount(), sizes.getLength(), fs.getFileStatus(at).getModificationTime()
+
+    def kept(self, name: str, make: Callable[[], DataFrame], source: str = "documents") -> DataFrame:
+        """What ``make`` gives, written once a session for as long as the table it comes from stays as it is."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name, self.state(source))
+        if key not in _KEPT:
+            _KEPT[key] = keep(make(), name)
+        return _KEPT[key]
+
     @property
-    def docs(self) -> DataFrame:
+    def plain(self) -> DataFrame:
         return self.read("documents").select("doc_id", "text")
 
+    @property
+    def docs(self) -> DataFrame:
+        """The documents with their words: texts are split once, and each query reads the column it needs."""
+        return self.kept("documents", lambda: lx.tokenised(self.plain))
+
     @property
     def asks(self) -> DataFrame:
         return self.read("benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -55,9 +80,12 @@ class Tables:
 
     @property
     def qrels(self) -> DataFrame:
-        """Documents that contain an item's text word for word."""
-        hit = self.docs.join(self.asks.withColumnRenamed("text", "ask"), F.expr("ask <> '' and contains(text, ask)"))
-        return hit.select("query_id", "doc_id", F.lit(1).alias("relevance"))
+        """Documents that contain an item's text word for word, all items looked for at once."""
+        asks = self.asks.where("text <> ''")
+        patterns = asks.groupBy("text").agg(F.min("query_id").alias("pattern_id")).withColumnRenamed("text", "pattern")
+        hits = dictmatch.match_docs(self.plain, patterns, fold=False, whole_word=False, longest=False).select("doc_id", "pattern_id").distinct()
+        named = asks.join(patterns, F.col("text") == F.col("pattern")).select("query_id", "pattern_id")
+        return hits.join(named, "pattern_id").select("query_id", "doc_id", F.lit(1).alias("relevance"))
 
     @property
     def vectors(self) -> DataFrame:
@@ -78,12 +106,12 @@ class Tables:
 
     @property
     def legs(self) -> DataFrame:
-        return fusion.legs(**{v: self.score(v) for v in ("atire", "plus", "bm25l")})
+        return rankers.score_many(self.docs, self.asks, tuple(WEIGHTS))
 
     @property
     def pooled(self) -> DataFrame:
         legs = self.legs
-        return fusion.over_pool(legs, fusion.pool_union(legs, 50))
+        return fusion.over_pool(legs, fusion.pool_union(legs, 50), list(WEIGHTS))
 
     @property
     def term_stats(self) -> DataFrame:
@@ -107,11 +135,11 @@ def best(scores: DataFrame, k: int = 10) -> DataFrame:
 
 @query
 def word_tokens(s, d):
-    return Tables(s, d).docs.select("doc_id", F.array_join(T.words("text"), " ").alias("tokens"))
+    return Tables(s, d).plain.select("doc_id", F.array_join(T.words("text"), " ").alias("tokens"))
 
 
 def _grams(s, d, make) -> DataFrame:
-    flat = Tables(s, d).docs.select("doc_id", F.explode(make("text")).alias("gram"))
+    flat = Tables(s, d).plain.select("doc_id", F.explode(make("text")).alias("gram"))
     return flat.groupBy("gram", "doc_id").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -127,17 +155,17 @@ def word_bounded_ngrams(s, d):
 
 @query
 def lead_tokens(s, d):
-    return Tables(s, d).docs.select("doc_id", T.lead_tokens("text").alias("lead"))
+    return Tables(s, d).plain.select("doc_id", T.lead_tokens("text").alias("lead"))
 
 
 @query
 def keyphrases(s, d):
-    return Tables(s, d).docs.select("doc_id", F.array_join(T.keyphrases("text"), " ").alias("phrases"))
+    return Tables(s, d).plain.select("doc_id", F.array_join(T.keyphrases("text"), " ").alias("phrases"))
 
 
 @query
 def sentence_split(s, d):
-    return Tables(s, d).docs.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    return Tables(s, d).plain.select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
 
 
 @query
@@ -147,17 +175,17 @@ def sentence_tokens(s, d):
 
 @query
 def ascii_fold(s, d):
-    return Tables(s, d).docs.select("doc_id", F.md5(T.ascii_fold("text")).alias("folded"))
+    return Tables(s, d).plain.select("doc_id", F.md5(T.ascii_fold("text")).alias("folded"))
 
 
 @query
 def entities(s, d):
-    return Tables(s, d).docs.select("doc_id", F.array_join(T.entities("text"), " ").alias("entities"))
+    return Tables(s, d).plain.select("doc_id", F.array_join(T.entities("text"), " ").alias("entities"))
 
 
 @query
 def aux_fields(s, d):
-    return Tables(s, d).docs.select("doc_id", T.aux_field("text").alias("aux"))
+    return Tables(s, d).plain.select("doc_id", T.aux_field("text").alias("aux"))
 
 
 # index
@@ -455,8 +483,9 @@ def pq_encode_fixed(s, d):
 
 @query
 def adc_fixed(s, d):
+    """Every vector whose id is divisible by 50 asks; all codes answer."""
     v = Tables(s, d).vectors
-    asked = v.where("label = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec")
     return rounded(pq.adc(pq.encode(v, _fixed_books(s), key="vec_id"), pq.lookup(asked, _fixed_books(s)), key="vec_id"), "l2", "ip")
 
 
@@ -524,7 +553,7 @@ def latency_summary(s, d):
 def _sketch_features(t: Tables) -> DataFrame:
     from tarnwood.operators import hashed
 
-    return hashed.gram_hashes(t.docs)
+    return hashed.gram_hashes(t.plain)
 
 
 @query
@@ -538,7 +567,7 @@ def splitmix_sketch(s, d):
 def idf_buckets(s, d):
     from tarnwood.operators import hashed
 
-    return hashed.bucket_weights(Tables(s, d).docs, 65_536)
+    return hashed.bucket_weights(Tables(s, d).plain, 65_536)
 
 
 @query
@@ -550,37 +579,37 @@ def minhash_min_per_bin(s, d):
 
 @query
 def minhash_signatures(s, d):
-    return minhash.signatures(Tables(s, d).docs)
+    return minhash.signatures(Tables(s, d).plain)
 
 
 @query
 def minhash_estimates(s, d):
     t = Tables(s, d)
     a = minhash.signatures(t.asks, key="query_id").withColumnRenamed("signature", "a")
-    b = minhash.signatures(t.docs).withColumnRenamed("signature", "b")
+    b = minhash.signatures(t.plain).withColumnRenamed("signature", "b")
     return t.qrels.join(a, "query_id").join(b, "doc_id").select("query_id", "doc_id", minhash.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
 @query
 def encode_v1(s, d):
-    return embed.encode(Tables(s, d).docs)
+    return embed.encode(Tables(s, d).plain)
 
 
 @query
 def encode_compact(s, d):
-    return embed.encode(Tables(s, d).docs, embed.COMPACT)
+    return embed.encode(Tables(s, d).plain, embed.COMPACT)
 
 
 @query
 def encode_hashed_idf(s, d):
-    docs = Tables(s, d).docs
+    docs = Tables(s, d).plain
     idf = embed.learn_idf(docs)
     return embed.encode(docs, embed.with_idf(idf), idf)
 
 
 def _projected(mode: str) -> None:
     def run(s, d):
-        return embed.encode(Tables(s, d).docs, embed.EncoderConfig(projection=mode, sketch_dim=1024, output_dim=128))
+        return embed.encode(Tables(s, d).plain, embed.EncoderConfig(projection=mode, sketch_dim=1024, output_dim=128))
 
     run.__name__ = f"project_{mode}"
     query(run)
@@ -592,7 +621,7 @@ for _mode in ("gaussian", "very_sparse", "sparse_jl", "fwht"):
 
 @query
 def xxhash_sketch(s, d):
-    return embed.builtin_sketch(Tables(s, d).docs)
+    return embed.builtin_sketch(Tables(s, d).plain)
 
 
 @query
@@ -613,30 +642,30 @@ def pmi_tempered(s, d):
 
 @query
 def bpe_learn(s, d):
-    return bpe.learn(Tables(s, d).docs, 400)
+    return bpe.learn(Tables(s, d).plain, 400)
 
 
 @query
 def bpe_apply(s, d):
-    docs = Tables(s, d).docs
+    docs = Tables(s, d).plain
     pieces = bpe.subwords(docs, bpe.learn(docs, 400))
     return pieces.groupBy("doc_id").agg(F.sum(F.size("pieces")).alias("n_pieces"), F.count("*").alias("n_words"))
 
 
 @query
 def text_rank(s, d):
-    return textrank.rank_docs(Tables(s, d).docs)
+    return textrank.rank_docs(Tables(s, d).plain)
 
 
 @query
 def textrank_lead(s, d):
-    return textrank.lead_agreement(Tables(s, d).docs)
+    return textrank.lead_agreement(Tables(s, d).plain)
 
 
 @query
 def dict_match(s, d):
     t = Tables(s, d)
-    return dictmatch.match_docs(t.docs, t.asks.select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern")))
+    return dictmatch.match_docs(t.plain, t.asks.select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern")))
 
 
 @query
@@ -668,7 +697,7 @@ def _reranked(name: str, config: geometry.GeometryConfig) -> None:
         t = Tables(s, d)
         frags = fragments.build(t.docs, t.term_stats, _SMALL)
         vectors = embed.encode(t.asks, _SMALL, key="query_id")
-        dense = embed.encode(t.docs, _SMALL) if config.dense_pool else None
+        dense = embed.encode(t.plain, _SMALL) if config.dense_pool else None
         return best(geometry.rerank(t.score("atire"), t.asks, t.docs, vectors, frags, config, dense))
 
     run.__name__ = f"geometry_{name}"
@@ -702,7 +731,7 @@ def fusion_six_leg(s, d):
 @query
 def coordinate_calibrated(s, d):
     t = Tables(s, d)
-    return best(experiments.coordinate_search(embed.encode(t.asks, _SMALL, key="query_id"), embed.encode(t.docs, _SMALL), prefix=32, mode="blend"))
+    return best(experiments.coordinate_search(embed.encode(t.asks, _SMALL, key="query_id"), embed.encode(t.plain, _SMALL), prefix=32, mode="blend"))
 
 
 @query

@@ -228,7 +228,7 @@ def statements() -> dict[str, str]:
         "prefix_normalize": "select vec_id, (i - 1)::int as dim, round(case when s > 0 then e[i] / s else 0 end, 6) as x from (select vec_id, e, sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))) as s, unnest(range(1, 17)) as i from v)",
         "matryoshka_weights": "select dim, round(sd / avg(sd) over (), 6) as weight from (select (i - 1)::int as dim, stddev_pop(e[i]) as sd from (select e, unnest(range(1, len(e) + 1)) as i from v) group by i)",
         "pq_encode_fixed": "select vec_id, array_to_string(list(ki order by mi), ' ') as code from codes group by vec_id",
-        "adc_fixed": "select q.vec_id as query_id, c.vec_id, round(sum(list_sum(list_transform(list_zip(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as l2, round(sum(list_dot_product(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c)), 6) as ip from v q, codes c join books b on b.mi = c.mi and b.ki = c.ki where q.label = 0 group by q.vec_id, c.vec_id",
+        "adc_fixed": "select q.vec_id as query_id, c.vec_id, round(sum(list_sum(list_transform(list_zip(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as l2, round(sum(list_dot_product(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c)), 6) as ip from v q, codes c join books b on b.mi = c.mi and b.ki = c.ki where q.vec_id % 50 = 0 group by q.vec_id, c.vec_id",
         "cluster_separation": "select a.label, count(distinct a.vec_id) as n, round(avg(case when a.label = b.label and a.vec_id <> b.vec_id then list_dot_product(a.e, b.e) end), 6) as intra, round(avg(case when a.label <> b.label then list_dot_product(a.e, b.e) end), 6) as inter from u a, u b group by a.label",
         "candidate_recall": "select query_id, round(count(h) / count(*), 6) as recall from qrels left join (select query_id, doc_id, 1 as h from top50) using (query_id, doc_id) group by query_id",
         "union_recall": "select query_id, round(count(h) / count(*), 6) as recall from qrels left join (select query_id, doc_id, 1 as h from pool) using (query_id, doc_id) group by query_id",
