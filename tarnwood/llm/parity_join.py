@@ -205,6 +205,16 @@ def may_hold(bits: np.ndarray | None, ids: pa.Array) -> np.ndarray:
     return known & ((bits[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 == 1)
 
 
+def _among(wanted):
+    """The rows whose ids the bitmap may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(wanted.value, b.column("doc_id"))))
+
+    return run
+
+
 def within(na, nb, sa, sb, band, threshold: float):
     """Whether two sketches of a band don't rule a pair out.
 
@@ -221,7 +231,8 @@ def within(na, nb, sa, sb, band, threshold: float):
 
 def sketched(rows: DataFrame, sets: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows with the count ``n`` and the sketch ``s`` of their document in their band."""
-    own = sets.select(F.col("doc_id").alias(key), F.col("level").alias("__l"), "n0", "n1", "s0", "s1")
+    # both sides of this and the other joins grow with the input, so all are planned alike at every size
+    own = sets.select(F.col("doc_id").alias(key), F.col("level").alias("__l"), "n0", "n1", "s0", "s1").hint("merge")
     first = F.col("band") == F.col("__l")
     met = rows.join(own, key)
     return met.select(*rows.columns, F.when(first, F.col("n0")).otherwise(F.col("n1")).alias("n"), F.when(first, F.col("s0")).otherwise(F.col("s1")).alias("s"))
@@ -236,8 +247,8 @@ def pruned(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")).hint("merge")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")).hint("merge")
     common = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(left, "a").join(right, "b").where(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common) - 1e-9).select("a", "b")
 
@@ -279,7 +290,7 @@ def _prefixes(load, threshold: float):
                 first = tokens.offsets.to_numpy().astype(np.int64)
                 doc, key, band = prefixes(tokens.flatten().to_numpy().view(U), first - first[0], load.value, threshold)
                 where = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(n).take(where) for n in ("doc_id", "root")), pa.array(np.diff(first)[doc].astype(np.int32))], names=["key", "doc_id", "root", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(n).take(where) for n in ("doc_id", "root")), pa.array(np.diff(first)[doc].astype(np.int32)), pa.array(level_of(np.diff(first))[doc].astype(np.int32))], names=["key", "doc_id", "root", "size", "level"])
 
     return run
 
@@ -328,20 +339,20 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, w
     same = ["f1", "f2", "size"]
     copies = raw.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     equal = scratch.keep(raw.select("doc_id", *same).join(copies, same).where("doc_id <> rep").select("doc_id", "rep", "f1", "f2").distinct(), "equal")
-    table = raw.join(equal.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_anti")
+    table = raw.join(equal.select("doc_id", "f1", "f2").hint("merge"), ["doc_id", "f1", "f2"], "left_anti")
     exploded = table.select("doc_id", "size", "level", "own", F.posexplode("keys").alias("at", "key"))
     exploded = scratch.keep(exploded.select("doc_id", "size", F.when(F.col("at") < F.col("own"), F.col("level")).otherwise(F.col("level") + 1).alias("band"), "key"), "cells")
     heads = exploded.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last").select("key", "head")
-    members = scratch.keep(exploded.join(heads, "key").select("key", "band", "doc_id", "size", "head"), "members")
+    members = scratch.keep(exploded.join(heads.hint("merge"), "key").select("key", "band", "doc_id", "size", "head"), "members")
     ids = scratch.keep(members.select("doc_id").distinct(), "ids")
     wanted = spark.sparkContext.broadcast(id_filter(ids))
     # the bitmap lets nearly only members through, so few sets are moved to the exact join
-    sets = scratch.keep(docs.mapInArrow(_sets(n, wanted), SETS).join(ids, "doc_id", "left_semi"), "sets")
+    sets = scratch.keep(docs.mapInArrow(_sets(n, wanted), SETS).join(ids.hint("merge"), "doc_id", "left_semi"), "sets")
     first = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"), "band").distinct()
     near = scratch.keep(pruned(first, sets, threshold), "near1")
     edges = scratch.keep(verified(near, sets, threshold), "edges1")
     label = components(edges, scratch)
-    named = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "size", "head", F.coalesce("root", "doc_id").alias("root"))
+    named = members.join(label.hint("merge").withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", "size", "head", F.coalesce("root", "doc_id").alias("root"))
     torn = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     open_ = scratch.keep(named.join(torn, "key"), "open")
     fits = f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9"
@@ -351,15 +362,18 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, w
     met = F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.head and {fits}")
     cross = x.join(y, met & within(F.col("x.n"), F.col("y.n"), F.col("x.s"), F.col("y.s"), F.col("x.band"), threshold))
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    many = sets.join(open_.where(F.col("n") > wide).select("doc_id", "root").distinct(), "doc_id")
+    hot = scratch.keep(open_.where(F.col("n") > wide).select("doc_id", "root").distinct(), "hot")
+    some = spark.sparkContext.broadcast(id_filter(hot.select("doc_id")))
+    many = scratch.keep(sets.select("doc_id", "tokens").mapInArrow(_among(some), "doc_id long, tokens array<long>").join(hot.hint("merge"), "doc_id"), "many")
     load = spark.sparkContext.broadcast(loads(many))
-    rare = many.select("doc_id", "root", "tokens").mapInArrow(_prefixes(load, threshold), "key long, doc_id long, root long, size int")
+    rare = many.mapInArrow(_prefixes(load, threshold), "key long, doc_id long, root long, size int, level int")
     x, y = rare.alias("x"), rare.alias("y")
-    met = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and {fits}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    cross = scratch.keep(cross.unionByName(met).distinct(), "near2")
+    met = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.root <> y.root and {fits}"))
+    met = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.greatest("x.level", "y.level").alias("band")).distinct()
+    cross = scratch.keep(cross.unionByName(pruned(met, sets, threshold)).distinct(), "near2")
     more = scratch.keep(verified(cross, sets, threshold), "edges2")
     final = components(edges.unionByName(more).unionByName(equal.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), scratch)
-    scratch.drop(raw, equal, exploded, members, ids, sets, near, edges, open_, cross, more)
+    scratch.drop(raw, equal, exploded, members, ids, sets, near, edges, open_, hot, many, cross, more)
     return final.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
