@@ -101,7 +101,7 @@ def crc32c(m: np.ndarray, seed: int = 0) -> np.ndarray:
 @functools.lru_cache(8)
 def _tables(seed: int) -> np.ndarray:
     """Six tables of 256 entries: four for byte places, two for bytes of the hash itself."""
-    out, s = np.zeros((6, 256), U), U(seed) ^ U(0x636F66666565313F)
+    out, s = np.zeros((6, 256), U), U(seed) ^ U(0x51D3A97B0E68C42F)
     with np.errstate(over="ignore"):
         for t in range(6):
             for i in range(256):

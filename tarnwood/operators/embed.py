@@ -23,6 +23,8 @@ from tarnwood.session import prepare
 U = np.uint64
 WORDS = re.compile(rb"[A-Za-z0-9_]+")
 BOUNDED = re.compile(rb"[A-Za-z0-9_\x80-\xff]+")
+#: Sets the draws of very sparse projections apart from others of the same seed.
+SALT = 0x7A526E9D41C3B85F
 PROJECTIONS = ("none", "achlioptas", "gaussian", "very_sparse", "sparse_jl", "fwht")
 
 
@@ -34,13 +36,13 @@ class EncoderConfig:
     bounded: bool = False
     fold: bool = False
     family: str = "splitmix64"
-    seed: int = 0xA5A5A5A5A5A5A5A5
+    seed: int = 0x6D1F94B07C25E83A
     weighting: str = "raw"  # raw, sqrt_tf
     signed_sqrt: bool = False
     sketch_dim: int = 4096
     output_dim: int = 384
     projection: str = "achlioptas"
-    projection_seed: int = 0xDEADBEEFCAFEBABE
+    projection_seed: int = 0x39C7E15A8B604D2F
     sparse_eps: float = 0.1
     nested_decay: float | None = None
     nested_weights: tuple[float, ...] | None = None
@@ -188,7 +190,7 @@ def projection_matrix(mode: str, rows: int, cols: int, seed: int, eps: float = 0
         return np.sqrt(-2 * np.log(u0)) * np.cos(2 * np.pi * u1) / np.sqrt(rows)
     if mode == "very_sparse":
         rare = max(1.0, np.sqrt(cols))
-        u = _uniform(H.mix(key ^ s ^ U(0xABCDEF0123456789)))
+        u = _uniform(H.mix(key ^ s ^ U(SALT)))
         return np.where(u < 0.5 / rare, -1.0, np.where(u < 1 / rare, 1.0, 0.0)) * np.sqrt(rare / rows)
     if mode == "sparse_jl":
         per = min(rows, max(1, int(np.ceil(eps * rows))))
@@ -254,8 +256,8 @@ def encode_texts(texts: list[str | None], c: EncoderConfig, idf: HashedIdf | Non
     return unit(y) if c.normalise else y
 
 
-def encode(docs: DataFrame, c: EncoderConfig = V1_384, idf: HashedIdf | None = None, key: str = "doc_id", text: str = "text", rows: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, vec array<float>) of each row, with the columns to ``carry`` between them: one Arrow stage, ``rows`` texts at a time."""
+def encode(docs: DataFrame, c: EncoderConfig = V1_384, idf: HashedIdf | None = None, key: str = "doc_id", text: str = "text", rows: int = 256, carry: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """(key, vec array<float>) of each row, with the columns to ``carry`` between them: one Arrow stage, ``rows`` texts at a time. ``exact`` keeps doubles."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
     names = [key, *carry]
@@ -264,12 +266,29 @@ def encode(docs: DataFrame, c: EncoderConfig = V1_384, idf: HashedIdf | None = N
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                v = encode_texts(b.column(len(names)).to_pylist(), c, shared.value).astype(np.float32)
+                v = encode_texts(b.column(len(names)).to_pylist(), c, shared.value).astype(np.float64 if exact else np.float32)
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], vec], names=[*names, "vec"])
 
     kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, vec array<float>")
+    return docs.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, vec array<{'double' if exact else 'float'}>")
+
+
+def sketch_table(docs: DataFrame, c: EncoderConfig, idf: HashedIdf | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, bucket, value): the count sketch of each row in long form, buckets of 0 left out."""
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                x = np.stack([sketch((t or "").encode(), c, shared.value) for t in b.column(1).to_pylist()]).astype(np.float64)
+                row, bucket = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(bucket), pa.array(x[row, bucket])], names=[key, "bucket", "value"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, bucket long, value double")
 
 
 def learn_idf(docs: DataFrame, c: EncoderConfig = COMPACT, buckets: int = 65_536, scope: str = "all", text: str = "text") -> HashedIdf:

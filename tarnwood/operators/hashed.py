@@ -17,7 +17,6 @@ from tarnwood.functions import hashing as H
 from tarnwood.session import prepare
 
 
-
 def gram_hashes(docs: DataFrame, least: int = 3, most: int = 5, seed: int = 0, family: str = "splitmix64") -> DataFrame:
     """(doc_id, high, low, n): the halves of the hash of each distinct byte n-gram of a document, and how often it occurs."""
     prepare(docs.sparkSession)
@@ -59,3 +58,13 @@ def bucket_weights(docs: DataFrame, buckets: int) -> DataFrame:
     return every.select("bucket", "df", F.greatest(F.lit(0), F.least(F.lit(65_535), w)).cast("long").alias("w_q10"))
 
 
+def word_hashes(terms: DataFrame, family: str, seed: int = 0) -> DataFrame:
+    """(term, high, low): the halves of each term's hash under one of the families."""
+    prepare(terms.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = H.hash64([t.encode() for t in b.column(0).to_pylist()], seed, family)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((h >> np.uint64(32)).astype(np.int64)), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["term", "high", "low"])
+
+    return terms.select("term").where("term is not null").mapInArrow(run, "term string, high long, low long")

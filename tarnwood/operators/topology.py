@@ -110,6 +110,18 @@ def diagram(i: np.ndarray, j: np.ndarray, sim: np.ndarray, n: int) -> list[tuple
     return out + [(1.0, float("inf"), sorted(p)) for p in held.values()]
 
 
+def diagrams(pairs: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, birth, death, points): the components of each query's pairs; points are the names in ``i`` and ``j``."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.r_[group["i"], group["j"]])
+        found = diagram(np.searchsorted(names, group["i"]), np.searchsorted(names, group["j"]), group["sim"].to_numpy(), len(names))
+        return pd.DataFrame({key: group[key].iloc[0], "birth": [b for b, *_ in found], "death": [d for _, d, _ in found], "points": [names[p].tolist() for *_, p in found]})
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.groupBy(key).applyInPandas(run, f"{key} {kind}, birth double, death double, points array<long>")
+
+
 def elbow(levels: DataFrame, key: str = "query_id") -> DataFrame:
     """(key, scale) from ``deaths``: where the second difference is greatest; the first with fewer than three."""
     order = Window.partitionBy(key).orderBy("k")

@@ -20,7 +20,7 @@ from tarnwood.operators import lexindex as lx
 
 from tarnwood.session import keep
 
-from . import oracle
+from . import given, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -497,7 +497,8 @@ def pq_train(s, d):
 @query
 def pq_decode(s, d):
     v = Tables(s, d).vectors
-    return pq.decode(pq.encode(v, _fixed_books(s), key="vec_id"), _fixed_books(s), key="vec_id")
+    vec = pq.decode(pq.encode(v, _fixed_books(s), key="vec_id"), _fixed_books(s), key="vec_id")
+    return rounded(vec.select("vec_id", F.posexplode("vec").alias("dim", "x")), "x")
 
 
 @query
@@ -734,11 +735,6 @@ def coordinate_calibrated(s, d):
     return best(experiments.coordinate_search(embed.encode(t.asks, _SMALL, key="query_id"), embed.encode(t.plain, _SMALL), prefix=32, mode="blend"))
 
 
-@query
-def coordinate_stats(s, d):
-    return experiments.coordinate_statistics(Tables(s, d).vectors.select("vec_id", "vec"))
-
-
 @query
 def family_atlas(s, d):
     t = Tables(s, d)
@@ -746,11 +742,11 @@ def family_atlas(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | given.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.statements().items() if k in QUERIES}
+    return {k: v for k, v in oracle.statements().items() if k in QUERIES} | given.statements()
 
 
 __all__ = ["Tables", "oracle_sql", "queries"]

@@ -182,6 +182,29 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 _SUFFIX = "[A-Za-z](?:" + "|".join(BIOMEDICAL_SUFFIXES) + ")$"
 
 
+def mixed(source: str, keys: str) -> str:
+    """(keys, h): SplitMix64's finaliser of the column z0 of a query."""
+    two64 = "18446744073709551616"
+    return (
+        f"select {keys}, xor(z2, z2 >> 31) as h from (select {keys}, ((xor(z1, z1 >> 27))::uhugeint * 10723151780598845931 % {two64})::ubigint as z2 "
+        f"from (select {keys}, ((xor(z0, z0 >> 30))::uhugeint * 13787848793156543929 % {two64})::ubigint as z1 from ({source})))"
+    )
+
+
+def hashed_head() -> str:
+    """The shared expressions up to hashed(doc_id, gram, h), one row for each byte n-gram's occurrence."""
+    from tarnwood.functions.hashing import GOLDEN, mix
+
+    init = int(mix(GOLDEN ^ mix(0) ^ mix(0)))
+    byte = lambda i: f"(case when k > {i} then (('0x' || substr(gram, {2 * i + 1}, 2))::ubigint << {8 * i}) else 0 end)"
+    value = " + ".join(byte(i) for i in range(5))
+    feats = f"select doc_id, gram, k, ({value})::ubigint as val from bgrams"
+    one = mixed(f"select doc_id, gram, xor({init}::ubigint, xor(val, (k::ubigint << 56))) as z0 from feats", "doc_id, gram")
+    two = mixed("select doc_id, gram, xor(h, (length(gram) // 2)::ubigint) as z0 from hashed1", "doc_id, gram")
+    base = with_("select 1 from docs, bgrams").rsplit("\n", 1)[0]
+    return f"{base}, feats as ({feats}), hashed1 as ({one}), hashed as ({two})"
+
+
 def statements() -> dict[str, str]:
     ranked = {
         "bm25_atire": "atire", "bm25_plus": "plus", "bm25_l": "bm25l", "bm25_ltd": "ltd", "dlh13": "dlh13", "pl2": "pl2", "dph": "dph", "dcm": "dcm", "bm25_sab": "sab", "sdm": "sdm", "wsdm": "wsdm", "layered": "sdm", "layered_w": "wsdm",
@@ -229,6 +252,8 @@ def statements() -> dict[str, str]:
         "matryoshka_weights": "select dim, round(sd / avg(sd) over (), 6) as weight from (select (i - 1)::int as dim, stddev_pop(e[i]) as sd from (select e, unnest(range(1, len(e) + 1)) as i from v) group by i)",
         "pq_encode_fixed": "select vec_id, array_to_string(list(ki order by mi), ' ') as code from codes group by vec_id",
         "adc_fixed": "select q.vec_id as query_id, c.vec_id, round(sum(list_sum(list_transform(list_zip(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as l2, round(sum(list_dot_product(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c)), 6) as ip from v q, codes c join books b on b.mi = c.mi and b.ki = c.ki where q.vec_id % 50 = 0 group by q.vec_id, c.vec_id",
+        "pq_decode": "select vec_id, (mi * 8 + i)::int as dim, round(c[i + 1], 6) as x from codes join books using (mi, ki), range(0, 8) r(i)",
+        "dict_match_words": "select doc_id, query_id as pattern_id, count(*) as n from (select query_id, array_to_string(t, ' ') as gram, len(t) as k from qw where len(t) > 0) q join (select doc_id, unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i : i + k - 1], ' '))) as gram from w, (select distinct len(t) as k from qw where len(t) > 0) where len(t) >= k) g using (gram) group by all",
         "cluster_separation": "select a.label, count(distinct a.vec_id) as n, round(avg(case when a.label = b.label and a.vec_id <> b.vec_id then list_dot_product(a.e, b.e) end), 6) as intra, round(avg(case when a.label <> b.label then list_dot_product(a.e, b.e) end), 6) as inter from u a, u b group by a.label",
         "candidate_recall": "select query_id, round(count(h) / count(*), 6) as recall from qrels left join (select query_id, doc_id, 1 as h from top50) using (query_id, doc_id) group by query_id",
         "union_recall": "select query_id, round(count(h) / count(*), 6) as recall from qrels left join (select query_id, doc_id, 1 as h from pool) using (query_id, doc_id) group by query_id",
@@ -243,20 +268,8 @@ def statements() -> dict[str, str]:
     )
     out["eval_trec"], out["eval_capped"] = metric("n_rel", "n_rel"), metric("least(10, n_rel)", "least(100, n_rel)")
     out["cosine_topk"] = ranking("near10")
-    two64 = "18446744073709551616"
-    mixed = "select doc_id, gram, xor(z2, z2 >> 31) as h from (select doc_id, gram, ((xor(z1, z1 >> 27))::uhugeint * 10723151780598845931 % {t})::ubigint as z2 from (select doc_id, gram, ((xor(z0, z0 >> 30))::uhugeint * 13787848793156543929 % {t})::ubigint as z1 from ({src})))"
-    seed0 = "select doc_id, gram, xor({init}::ubigint, xor(val, (k::ubigint << 56))) as z0 from feats"
-    from tarnwood.functions.hashing import GOLDEN, mix
-
-    init = int(mix(GOLDEN ^ mix(0) ^ mix(0)))
-    byte = lambda i: f"(case when k > {i} then (('0x' || substr(gram, {2 * i + 1}, 2))::ubigint << {8 * i}) else 0 end)"
-    value = " + ".join(byte(i) for i in range(5))
-    feats = f"select doc_id, gram, k, ({value})::ubigint as val from bgrams"
-    one = mixed.format(t=two64, src=seed0.format(init=init))
-    two = mixed.format(t=two64, src=f"select doc_id, gram, xor(h, (length(gram) // 2)::ubigint) as z0 from hashed1")
-    head = f"feats as ({feats}), hashed1 as ({one}), hashed as ({two})"
-    base = with_("select 1 from docs, bgrams").rsplit("\n", 1)[0]
-    out["splitmix_sketch"] = f"{base}, {head} select doc_id, ((h % 4294967296) % 4096)::bigint as bucket, sum(case when h >= 9223372036854775808 then -2 else 2 end)::bigint as value from hashed group by all having sum(case when h >= 9223372036854775808 then -2 else 2 end) <> 0"
-    out["idf_buckets"] = f"{base}, {head} select b::bigint as bucket, coalesce(df, 0)::bigint as df, greatest(0, least(65535, floor(1024 * ln(((select count(*) from docs) + 1) / (coalesce(df, 0) + 0.5::double)) + 0.5)))::bigint as w_q10 from range(0, 65536) r(b) left join (select (h % 65536)::bigint as b, count(distinct doc_id) as df from hashed group by all) using (b)"
-    out["minhash_min_per_bin"] = f"{base}, {head} select doc_id, (h % 256)::bigint as bin, min(h // 4294967296)::bigint as least from hashed group by all"
+    base_head = hashed_head()
+    out["splitmix_sketch"] = f"{base_head} select doc_id, ((h % 4294967296) % 4096)::bigint as bucket, sum(case when h >= 9223372036854775808 then -2 else 2 end)::bigint as value from hashed group by all having sum(case when h >= 9223372036854775808 then -2 else 2 end) <> 0"
+    out["idf_buckets"] = f"{base_head} select b::bigint as bucket, coalesce(df, 0)::bigint as df, greatest(0, least(65535, floor(1024 * ln(((select count(*) from docs) + 1) / (coalesce(df, 0) + 0.5::double)) + 0.5)))::bigint as w_q10 from range(0, 65536) r(b) left join (select (h % 65536)::bigint as b, count(distinct doc_id) as df from hashed group by all) using (b)"
+    out["minhash_min_per_bin"] = f"{base_head} select doc_id, (h % 256)::bigint as bin, min(h // 4294967296)::bigint as least from hashed group by all"
     return out
