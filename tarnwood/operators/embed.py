@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 from tarnwood.functions import hashing as H
 from tarnwood.session import prepare
 
+from . import bpe
+
 U = np.uint64
 WORDS = re.compile(rb"[A-Za-z0-9_]+")
 BOUNDED = re.compile(rb"[A-Za-z0-9_\x80-\xff]+")
+#: The kinds of features of each setting, in their order.
+FEATURES = {"char": ("char",), "word": ("word",), "both": ("char", "word"), "subword": ("subword",), "char_subword": ("char", "subword"), "all": ("char", "word", "subword")}
 #: Sets the draws of very sparse projections apart from others of the same seed.
 SALT = 0x7A526E9D41C3B85F
 PROJECTIONS = ("none", "achlioptas", "gaussian", "very_sparse", "sparse_jl", "fwht")
@@ -30,7 +34,7 @@ PROJECTIONS = ("none", "achlioptas", "gaussian", "very_sparse", "sparse_jl", "fw
 
 @dataclass(frozen=True)
 class EncoderConfig:
-    features: str = "char"  # char, word, both
+    features: str = "char"  # char, word, both, subword, char_subword, all
     least: int = 3
     most: int = 5
     bounded: bool = False
@@ -47,11 +51,18 @@ class EncoderConfig:
     nested_decay: float | None = None
     nested_weights: tuple[float, ...] | None = None
     normalise: bool = True
+    merges: tuple[tuple[bytes, bytes], ...] = ()  # byte-pair merges of the subword features, in order
 
     def __post_init__(self):
+        finite = lambda x: bool(np.isfinite(x))
         wrong = [
-            (self.features not in ("char", "word", "both"), "features"),
-            (self.features != "word" and not 1 <= self.least <= self.most, "least and most"),
+            (self.features not in FEATURES, "features"),
+            ("char" in FEATURES.get(self.features, ()) and not 1 <= self.least <= self.most, "least and most"),
+            ("subword" in FEATURES.get(self.features, ()) and not self.merges, "subword features need merges"),
+            (self.weighting != "raw" and self.signed_sqrt, "one of weighting and signed_sqrt"),
+            (self.nested_decay is not None and not finite(self.nested_decay), "nested_decay is not finite"),
+            (self.nested_weights is not None and not all(finite(w) and w >= 0 for w in self.nested_weights), "nested_weights are negative or not finite"),
+            (self.projection == "none" and (self.nested_decay is not None or self.nested_weights is not None), "nested weights need a projection"),
             (self.family not in H.FAMILIES, "family"),
             (self.weighting not in ("raw", "sqrt_tf"), "weighting"),
             (self.sketch_dim < 1, "sketch_dim"),
@@ -121,12 +132,23 @@ def with_idf(idf: HashedIdf, base: EncoderConfig = COMPACT, output_dim: int = 38
     return replace(base, output_dim=output_dim)
 
 
+@functools.lru_cache(2)
+def _ranks(merges: tuple) -> dict[tuple[bytes, bytes], int]:
+    return {pair: k for k, pair in reversed(list(enumerate(merges)))}
+
+
+@functools.lru_cache(100_000)
+def _pieces(word: bytes, merges: tuple) -> tuple[bytes, ...]:
+    return tuple(bpe.apply_word(word, _ranks(merges)))
+
+
 def hashed_features(text: bytes, c: EncoderConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, magnitude) of a text's features in order: 2 for character n-grams, 1 for words."""
+    """(hash, magnitude) of a text's features in order: 2 for character n-grams and subwords, 1 for words."""
     if c.fold:
         text = text.lower()
     h, mag = [], []
-    if c.features != "word":
+    kinds = FEATURES[c.features]
+    if "char" in kinds:
         if c.bounded:
             grams = [w[i : i + k] for w in (b"<" + x + b">" for x in BOUNDED.findall(text)) for k in range(c.least, c.most + 1) for i in range(len(w) - k + 1)]
             own = H.hash64(grams, c.seed, c.family)
@@ -135,10 +157,14 @@ def hashed_features(text: bytes, c: EncoderConfig) -> tuple[np.ndarray, np.ndarr
             own = np.concatenate([H.window_hashes(buf, k, c.seed, c.family) for k in range(c.least, c.most + 1)])
         h.append(own)
         mag.append(np.full(len(own), 2, np.int64))
-    if c.features != "char":
+    if "word" in kinds:
         own = H.hash64(WORDS.findall(text), c.seed, c.family)
         h.append(own)
         mag.append(np.ones(len(own), np.int64))
+    if "subword" in kinds:
+        own = H.hash64([p for w in WORDS.findall(text) for p in _pieces(w, c.merges)], c.seed, c.family)
+        h.append(own)
+        mag.append(np.full(len(own), 2, np.int64))
     return np.concatenate(h), np.concatenate(mag)
 
 
@@ -245,6 +271,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: list[str | None], c: EncoderConfig, idf: HashedIdf | None = None) -> np.ndarray:
     """The vectors of texts; null is as ''."""
+    if idf is not None and (c.weighting != "raw" or c.signed_sqrt):
+        raise ValueError("a weight table goes with raw counts")
     if idf is not None and not idf.compatible(c):
         raise ValueError("the weight table was learned under other settings")
     x = np.stack([sketch((t or "").encode(), c, idf) for t in texts]) if texts else np.zeros((0, c.sketch_dim))

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tarnwood.functions import vectors as V
 from tarnwood.session import keep
 
-from . import embed, evaluate, fragments, fusion, geometry, rankers
-from . import lexindex as lx
+from . import embed, evaluate, fusion, geometry, rankers, recipes
 
 
 @dataclass
@@ -115,7 +114,23 @@ def resolve(variant: dict[str, str], kinds: dict[str, type]) -> object:
     return kinds[kind](**{k: read[str(fields[k].type).split(" |")[0]](v) for k, v in variant.items() if k != "kind"})
 
 
-KINDS = {"encoder": embed.EncoderConfig, "bm25": rankers.Params, "geometry": geometry.GeometryConfig}
+@dataclass(frozen=True)
+class CoordinateConfig:
+    prefix: int = 32
+    mode: str = "fixed"
+    blend: float = 0.5
+    kind: str = "standardise"
+    margin: float = 0.05
+    k: int = 100
+
+
+@dataclass(frozen=True)
+class AtlasConfig:
+    mode: str = "independent"
+    depth: int = 100
+
+
+KINDS = {"encoder": embed.EncoderConfig, "bm25": rankers.Params, "geometry": geometry.GeometryConfig, "coordinate": CoordinateConfig, "atlas": AtlasConfig, "reranker": recipes.RerankerConfig}
 
 
 def check_policy(mode: str, split: str, variants: int, lineage: str | None = None) -> None:
@@ -197,7 +212,8 @@ def family_atlas(docs: DataFrame, queries: DataFrame, mode: str = "independent",
     """(query_id, doc_id, score): cosines in a chart of character features and one of words, each with its own document-frequency weights.
 
     ``independent`` adds query z-scores over the union of both pools, ``joint``
-    encodes both kinds in one chart, ``rrf`` fuses ranks.
+    encodes both kinds in one chart, ``joint_rms`` takes the root mean square of
+    the two cosines, ``base_only`` characters alone, ``rrf`` fuses ranks.
     """
     def chart(features: str) -> DataFrame:
         c = embed.EncoderConfig(features=features, bounded=True, fold=True, sketch_dim=1024, output_dim=128, projection="fwht")
@@ -206,23 +222,23 @@ def family_atlas(docs: DataFrame, queries: DataFrame, mode: str = "independent",
 
     if mode == "joint":
         return chart("both")
-    legs = fusion.legs(char=chart("char"), word=chart("word"))
+    if mode == "base_only":
+        return chart("char")
+    legs = keep(fusion.legs(char=chart("char"), word=chart("word")), "charts")
+    if mode == "joint_rms":
+        # the root mean square of the two cosines, negative ones as 0, over the union of the pools
+        both = fusion.over_pool(legs, fusion.pool_union(legs, depth), ["char", "word"])
+        square = F.pow(F.greatest(F.col("score"), F.lit(0.0)), 2)
+        return both.groupBy("query_id", "doc_id").agg(F.sqrt(F.avg(square)).alias("score"))
     if mode == "rrf":
         return fusion.rrf(legs)
     return fusion.convex_z(fusion.over_pool(legs, fusion.pool_union(legs, depth), ["char", "word"]), {"char": 0.5, "word": 0.5})
 
 
-def six_leg_fusion(docs: DataFrame, queries: DataFrame, config: embed.EncoderConfig = embed.COMPACT, per_leg: int = 100) -> DataFrame:
-    """(query_id, doc_id, score): 0.6 z(backoff dependence) + 0.4 z(Atire dependence) over the union of six legs' pools."""
-    rows = lx.words(docs)
-    # each leg is read several times below
-    atire, wsdm, sab = (keep(rankers.score(docs, queries, v), v) for v in ("atire", "wsdm", "sab"))
-    pairs = rankers.summed(wsdm, rankers.weighted(atire, -rankers.DEFAULT.unigram))
-    wsdm_sab = rankers.summed(rankers.weighted(sab, rankers.DEFAULT.unigram), pairs)
-    frags = fragments.build(docs, lx.build(rows).stats, config)
-    geom = geometry.rerank(atire, queries, docs, embed.encode(queries, config, key="query_id"), frags, geometry.GeometryConfig(alpha=0.0, pool=per_leg))
-    variants = fusion.rrf(rankers.score_many(docs, queries, ("atire", "plus", "bm25l", "dlh13", "dcm")))
-    lists = fusion.legs(atire=atire, wsdm=wsdm, sab=sab, wsdm_sab=wsdm_sab, geometry=geom, rrf=variants)
-    pool = fusion.pool_union(lists, per_leg)
-    two = fusion.over_pool(fusion.legs(wsdm=wsdm, wsdm_sab=wsdm_sab), pool, ["wsdm", "wsdm_sab"])
-    return fusion.convex_z(two, {"wsdm_sab": 0.6, "wsdm": 0.4})
+def six_leg_fusion(docs: DataFrame, queries: DataFrame, config: embed.EncoderConfig = embed.COMPACT, per_leg: int = 100, table: DataFrame | None = None, idf_weight: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, score): 0.6 z(backoff dependence) + 0.4 z(Atire dependence) over the union of six legs' pools; with ``idf_weight`` the Atire leg takes that share."""
+    p = recipes.six_legs(docs, queries, config, per_leg, table)
+    if not idf_weight:
+        return recipes.promoted(p)
+    weights = {k: w * (1 - idf_weight) for k, w in recipes.PROMOTED.items()} | {"atire": idf_weight}
+    return fusion.convex_z(p.over(list(weights)), weights)

@@ -141,6 +141,8 @@ def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed
     if builder in WORD_VECTORS:
         worded = parts.withColumn("terms", T.terms("text"))
         encoded = sif_vectors(worded, table, stats, bigrams if builder == "richcov_bsif" else 0.0, carry=("place", "sig"))
+    elif table is not None:
+        encoded = sif_vectors(parts.withColumn("terms", T.terms("text")), table, None, carry=("place", "sig"))
     else:
         encoded = embed.encode(parts, config, carry=("place", "sig"))
     rows = encoded.groupBy("doc_id").agg(F.collect_list(F.struct("place", "vec", "sig")).alias("parts"))
@@ -168,16 +170,19 @@ def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed
 MOST_WORDS = 200_000
 
 
-def sif_vectors(sentences: DataFrame, table: DataFrame, stats: DataFrame, bigrams: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def sif_vectors(sentences: DataFrame, table: DataFrame, stats: DataFrame | None, bigrams: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, vec) of ``sentences(doc_id, terms)``, with the columns to ``carry`` between them.
 
-    Word vectors weighted by max(idf, 0.1), plus products of neighbours' vectors
+    Word vectors weighted by max(idf, 0.1), or by 1 without ``stats``, plus products of neighbours' vectors
     where asked, at unit length; zeros for a text without a known word. The word
     table has a bounded vocabulary, is counted, and is shared with its weights.
     """
     spark = prepare(sentences.sparkSession)
     weight = F.greatest(F.coalesce("idf", F.lit(0.0)), F.lit(0.1))
-    known = table.join(stats.select(F.col("term").alias("token"), "idf"), "token", "left").select("token", "vec", weight.alias("w"))
+    if stats is None:
+        known = table.select("token", "vec", F.lit(1.0).alias("w"))
+    else:
+        known = table.join(stats.select(F.col("term").alias("token"), "idf"), "token", "left").select("token", "vec", weight.alias("w"))
     rows = sorted(known.limit(MOST_WORDS + 1).collect(), key=lambda r: r["token"])
     if len(rows) > MOST_WORDS:
         raise ValueError(f"over {MOST_WORDS} words")

@@ -56,6 +56,9 @@ class GeometryConfig:
             (self.top_k < 1, "top_k"),
             (not np.isfinite(self.beta), "beta"),
             (min(self.dense_pool, self.csls_k, self.prefix) < 0, "counts"),
+            (not np.isfinite(self.csls_beta) or self.csls_beta < 0, "csls_beta"),
+            (self.outer is not None and self.csls_k > 0, "an outer scorer takes no csls"),
+            (self.adaptive and not self.use_scale, "adaptive needs a scale"),
         ]
         for bad, what in wrong:
             if bad:
@@ -157,13 +160,17 @@ def aggregate(sims: DataFrame, c: GeometryConfig, scorer: str = "max") -> DataFr
     raise ValueError(scorer)
 
 
-def rerank(scores: DataFrame, queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, fragments: DataFrame, c: GeometryConfig = GeometryConfig(), doc_vectors: DataFrame | None = None) -> DataFrame:
+def rerank(scores: DataFrame, queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, fragments: DataFrame, c: GeometryConfig = GeometryConfig(), doc_vectors: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) for each query's pool: alpha * z(first pass) + (1 - alpha) * z(geometry). Documents outside the pool have no row.
 
     ``query_vectors`` is (query_id, vec). With ``dense_pool`` and
     ``doc_vectors(doc_id, vec)`` the documents nearest to the query join the pool.
+    A ``pool(query_id, doc_id)`` that is given takes the place of the best ``c.pool``.
     """
-    pool = rankers.top_dense(scores, queries, docs, c.pool).select("query_id", "doc_id", "score")
+    if pool is None:
+        pool = rankers.top_dense(scores, queries, docs, c.pool).select("query_id", "doc_id", "score")
+    else:
+        pool = pool.join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"]).select("query_id", "doc_id", "score")
     if c.dense_pool and doc_vectors is not None:
         near = evaluate.exact_dense(query_vectors, doc_vectors, c.dense_pool).select("query_id", "doc_id")
         more = near.join(pool, ["query_id", "doc_id"], "left_anti").join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])

@@ -28,6 +28,31 @@ def with_evidence(docs: DataFrame, queries: DataFrame, relations: DataFrame | No
     return rankers.summed(base, known.select("query_id", "doc_id", (F.lit(float(boost)) * F.col("w")).alias("score")))
 
 
+def scientific_evidence(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, aux, entities): the auxiliary field made of a paper's sections, and its entities."""
+    return docs.select(key, T.aux_field("text").alias("aux"), T.entities("text").alias("entities"))
+
+
+def scientific(docs: DataFrame, queries: DataFrame, body: float = 0.85, extra: float = 0.15) -> DataFrame:
+    """Two-field BM25 for papers: the text, and the field made of its sections, which the query's first tokens ask."""
+    asked = lx.query_words(queries)
+    lead = queries.select("query_id", T.terms(T.lead_tokens("text")).alias("terms"))
+    aux = docs.select("doc_id", T.terms(T.aux_field("text")).alias("terms"))
+    return rankers.fields(lx.words(docs), aux, asked, lead, body, extra)
+
+
+def digest(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row (rows, digest) that any change of the named columns changes, whatever the order of the rows: the sum of 52 bits of each row's MD5. Doubles count to six places; null is as ''."""
+
+    def shown(c: str):
+        kind = rows.schema[c].dataType.simpleString()
+        return F.round(F.col(c) * 1e6).cast("long") if kind in ("double", "float") else F.col(c)
+
+    line = F.concat_ws("|", *[F.coalesce(shown(c).cast("string"), F.lit("")) for c in columns])
+    part = F.conv(F.substring(F.md5(line), 1, 13), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
+
+
 def keyphrase(docs: DataFrame, queries: DataFrame, scale: float = 0.3, least_entropy: float = 0.30) -> DataFrame:
     """Where the best ten are torn, the z-score of BM25 plus a share of the query's keyphrases found; elsewhere BM25 as it is.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tarnwood.functions import text as T
 from tarnwood.functions import vectors as V
-from tarnwood.operators import bpe, dictmatch, embed, evaluate, experiments, feedback, fragments, fusion, geometry, minhash, pmi, pq, rankers, routing, strategies, textrank, topology
+from tarnwood.operators import bpe, dictmatch, embed, evaluate, experiments, feedback, fragments, fusion, geometry, minhash, pmi, pq, rankers, recipes, routing, strategies, textrank, topology
 from tarnwood.operators import lexindex as lx
 
 from tarnwood.session import keep
@@ -741,6 +742,57 @@ def family_atlas(s, d):
     return best(experiments.family_atlas(t.docs, t.asks))
 
 
+# composition
+
+
+@query
+def scientific(s, d):
+    t = Tables(s, d)
+    return best(strategies.scientific(t.docs, t.asks))
+
+
+@query
+def concept_digest(s, d):
+    return strategies.digest(Tables(s, d).concepts, "term", "pmi", "idf", "df", "ttf")
+
+
+@query
+def fixture_digest(s, d):
+    t = Tables(s, d)
+    docs = strategies.digest(t.plain, "doc_id", "text").withColumn("part", F.lit("documents"))
+    return docs.unionByName(strategies.digest(t.asks, "query_id", "text").withColumn("part", F.lit("queries")))
+
+
+@query
+def coordinate_digest(s, d):
+    """What was learned from the vectors, as weights by coordinate."""
+    return strategies.digest(embed.nested_weights(Tables(s, d).vectors), "dim", "weight")
+
+
+@query
+def encode_subword(s, d):
+    """The count sketch of characters, words and subwords."""
+    docs = Tables(s, d).plain
+    merges = tuple((bytes(r["left"]), bytes(r["right"])) for r in bpe.learn(docs, 400).orderBy("rank").collect())
+    return embed.sketch_table(docs, embed.EncoderConfig(features="all", merges=merges, bounded=True, fold=True, projection="none"))
+
+
+@query
+def recipe_rows(s, d):
+    t = Tables(s, d)
+    table = keep(pmi.vectors(t.words, rank=32), "table")
+    dense = evaluate.exact_dense(embed.encode(t.asks, _SMALL, key="query_id"), embed.encode(t.plain, _SMALL), 100).drop("rank")
+    rows = recipes.recipes(t.docs, t.asks, _SMALL, table=table, qrels=t.qrels, dense=dense)
+    return rounded(recipes.recipe_rows(rows, t.qrels), "ndcg10", "p10", "r10", "r100", "mrr10")
+
+
+@query
+def reranker_workspace(s, d):
+    t = Tables(s, d)
+    own = recipes.Workspace(t.docs, t.asks, recipes.RerankerConfig(builder="rich", storage="bf16", config=_SMALL))
+    return best(own.run(replace(own.config, geometry=geometry.GeometryConfig(pool=50))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES | given.QUERIES
 

@@ -335,7 +335,7 @@ def _projection_sql(mode: str, decay: float | None) -> str:
         cells = f"mx as (select r.k as r, s.k as c, s.x * (case when bit_count(r.x & s.k) % 2 = 0 then 1 else -1 end) / sqrt({c.output_dim}::double) as m from (values {b}) r(k, x), (values {a}) s(k, x))"
     elif mode == "sparse_jl":
         m = embed.projection_matrix(mode, c.output_dim, c.sketch_dim, c.projection_seed, c.sparse_eps)
-        cells = "mx as (select * from (values " + ", ".join(f"({r}, {k}, {m[r, k]!r}::double)" for r, k in zip(*map(np.ndarray.tolist, np.nonzero(m)))) + ") t(r, c, m))"
+        cells = "mx as (select * from (values " + ", ".join(f"({r}, {k}, {float(m[r, k])!r}::double)" for r, k in zip(*map(np.ndarray.tolist, np.nonzero(m)))) + ") t(r, c, m))"
     else:
         salt = c.projection_seed ^ (embed.SALT if mode == "very_sparse" else 0)
         first = mixed("select r, c, z0 from (select r, c, xor(xor((r::ubigint << 32), c::ubigint), {}::ubigint) as z0 from range(0, {}) a(r), range(0, {}) b(c))".format(salt, c.output_dim, c.sketch_dim), "r, c")
@@ -354,7 +354,7 @@ def _projection_sql(mode: str, decay: float | None) -> str:
             cells += f", mx as (select r, c, {value} as m from c1)"
     raw = _RAW.replace("% 512", "% 64")
     scale = f"/ sqrt(1 + r / {decay}::double)" if decay else ""
-    return _hashed("select doc_id, r::bigint as dim, round(y / sqrt(sum(y * y) over (partition by doc_id)), 6) as x from pj", f"{_PER}, {raw}, {cells}, pj as (select doc_id, r, sum(value * m) {scale} as y from raw join mx on c = bucket group by doc_id, r)")
+    return _hashed("select doc_id, r::bigint as dim, round(y / sqrt(sum(y * y) over (partition by doc_id)), 6) as x from pj", f"{_PER}, {raw}, {cells}, pd as (select doc_id, r, sum(value * m) as y from raw join mx on c = bucket group by doc_id, r), pj as (select doc_id, r, coalesce(y, 0) {scale} as y from (select distinct doc_id from pd) cross join range(0, {c.output_dim}) t(r) left join pd using (doc_id, r))")
 
 
 def _projecting(mode: str, decay: float | None = None) -> None:

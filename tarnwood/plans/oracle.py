@@ -159,6 +159,16 @@ CTE: dict[str, str] = {
     "wins": "select doc_id, x || lead(x) over w || lead(x, 2) over w as g3, x || lead(x) over w || lead(x, 2) over w || lead(x, 3) over w as g4, x || lead(x) over w || lead(x, 2) over w || lead(x, 3) over w || lead(x, 4) over w as g5 from byts window w as (partition by doc_id order by i)",
     "bgrams": "select doc_id, g3 as gram, 3 as k from wins where g3 is not null union all select doc_id, g4, 4 from wins where g4 is not null union all select doc_id, g5, 5 from wins where g5 is not null",
     "dt": "select doc_id, list_distinct(t) as t from w",
+    "lns": "select doc_id, i, l[i] as line, regexp_replace(l[i], '^[ \\t\\x0B\\f\\r]*[0-9. ]*', '') as bare from (select doc_id, l, unnest(range(1, least(16, len(l)) + 1)) as i from (select doc_id, string_split(substr(text, 1, 16384), chr(10)) as l from docs))",
+    "lnh": "select *, regexp_matches(bare, '[A-Za-z]') and len(regexp_extract_all(bare, '[^ \\t\\x0B\\f\\r]+')) <= 8 and (not regexp_matches(bare, '[a-z]') or strlen(bare) < 80) as header from lns",
+    "lnp": "select *, coalesce(bool_or(header) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), false) as past, coalesce(sum(case when line <> '' and not header then length(line) + 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) - 1 as before from lnh",
+    "auxf": "select docs.doc_id, coalesce(substr(string_agg(line, ' ' order by i), 1, 512), '') as aux from docs left join (select * from lnp where line <> '' and not header and (past or before < 256)) l using (doc_id) group by docs.doc_id",
+    "sw": f"select doc_id, {WORDS.format('aux')} as t from auxf",
+    "sdl": "select doc_id, len(t)::bigint as dl from sw",
+    "scs": "select count(*) as n, avg(dl) as avg_dl from sdl",
+    "sp": "select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from sw) group by all",
+    "sts": f"select term, count(*) as df, {IDF} as idf from sp, scs group by term",
+    "sci": f"select query_id, doc_id, sum(score) as score from (select query_id, doc_id, 0.85::double * score as score from atire union all select query_id, doc_id, 0.15::double * qtf * {ATIRE} from qlead join sts using (term) join sp using (term) join sdl using (doc_id), scs) group by all",
 }
 
 
@@ -182,6 +192,11 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 _SUFFIX = "[A-Za-z](?:" + "|".join(BIOMEDICAL_SUFFIXES) + ")$"
 
 
+def _digest(*columns: str) -> str:
+    line = " || '|' || ".join(f"coalesce(({c})::varchar, '')" for c in columns)
+    return f"coalesce(sum(('0x' || substr(md5({line}), 1, 13))::bigint), 0)::varchar"
+
+
 def mixed(source: str, keys: str) -> str:
     """(keys, h): SplitMix64's finaliser of the column z0 of a query."""
     two64 = "18446744073709551616"
@@ -253,7 +268,12 @@ def statements() -> dict[str, str]:
         "pq_encode_fixed": "select vec_id, array_to_string(list(ki order by mi), ' ') as code from codes group by vec_id",
         "adc_fixed": "select q.vec_id as query_id, c.vec_id, round(sum(list_sum(list_transform(list_zip(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as l2, round(sum(list_dot_product(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c)), 6) as ip from v q, codes c join books b on b.mi = c.mi and b.ki = c.ki where q.vec_id % 50 = 0 group by q.vec_id, c.vec_id",
         "pq_decode": "select vec_id, (mi * 8 + i)::int as dim, round(c[i + 1], 6) as x from codes join books using (mi, ki), range(0, 8) r(i)",
-        "dict_match_words": "select doc_id, query_id as pattern_id, count(*) as n from (select query_id, array_to_string(t, ' ') as gram, len(t) as k from qw where len(t) > 0) q join (select doc_id, unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i : i + k - 1], ' '))) as gram from w, (select distinct len(t) as k from qw where len(t) > 0) where len(t) >= k) g using (gram) group by all",
+        "dict_match_words": "select doc_id, pattern_id, count(*) as n from (select doc_id, pattern_id, w.t as t, q.t as p, unnest(range(1, len(w.t) - len(q.t) + 2)) as i from (select *, ' ' || array_to_string(t, ' ') || ' ' as line from w) w join (select query_id as pattern_id, t, ' ' || array_to_string(t, ' ') || ' ' as line from qw where len(t) > 0) q on contains(w.line, q.line)) where t[i : i + len(p) - 1] = p group by all",
+        "scientific": f"select query_id, rank, doc_id, round(score, 6) as score from ({_top('sci', 10)})",
+        "concept_digest": f"select count(*) as rows, {_digest('term', 'round(pmi * 1e6)::bigint', 'round(idf * 1e6)::bigint', 'df', 'ttf')} as digest from concepts",
+        "fixture_digest": f"select 'documents' as part, count(*) as rows, {_digest('doc_id', 'text')} as digest from documents union all select 'queries', count(*), {_digest('item_id', 'text')} from benchmark",
+        "coordinate_digest": f"select count(*) as rows, {_digest('dim', 'round(weight * 1e6)::bigint')} as digest from (select dim, sd / avg(sd) over () as weight from (select (i - 1)::int as dim, stddev_pop(e[i]) as sd from (select e, unnest(range(1, len(e) + 1)) as i from v) group by i))",
+        "aux_fields": "select doc_id, aux from auxf",
         "cluster_separation": "select a.label, count(distinct a.vec_id) as n, round(avg(case when a.label = b.label and a.vec_id <> b.vec_id then list_dot_product(a.e, b.e) end), 6) as intra, round(avg(case when a.label <> b.label then list_dot_product(a.e, b.e) end), 6) as inter from u a, u b group by a.label",
         "candidate_recall": "select query_id, round(count(h) / count(*), 6) as recall from qrels left join (select query_id, doc_id, 1 as h from top50) using (query_id, doc_id) group by query_id",
         "union_recall": "select query_id, round(count(h) / count(*), 6) as recall from qrels left join (select query_id, doc_id, 1 as h from pool) using (query_id, doc_id) group by query_id",
