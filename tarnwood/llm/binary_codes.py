@@ -7,7 +7,8 @@ confidence set by ``EPSILON``, by sqrt(1 - <x, y>**2) * sqrt(1 - <c, x>**2) /
 <c, x> * EPSILON / sqrt(d - 1). Several rotations, whose estimates are averaged,
 tighten the bound. Pairs whose interval lies on one side of the threshold are
 decided by it; the others are computed exactly. Bands of code bits are the
-buckets in which pairs meet.
+buckets in which pairs meet; only ids meet there, and vectors are fetched for
+pairs alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .vectors import dimensions, matrix, unit, usable
 THRESHOLD, BANDS, EPSILON, SEED, TILE = 0.95, 24, 4.0, 5, 512
 #: Share of the pairs at the threshold that meet, at least, with bands taken as independent; somewhat above the 0.9 that is asked for.
 RECALL = 0.93
+#: Words of the code by which pairs of a bucket are told apart before they leave the join.
+WORDS = 4
 U = np.uint64
 
 
@@ -79,36 +82,81 @@ def estimate(rotated: np.ndarray, sign: np.ndarray, factor: np.ndarray, epsilon:
     return est, np.sqrt(1 - low**2) * spread
 
 
-def bucket_edges(ids: np.ndarray, x: np.ndarray, turns: np.ndarray, threshold: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(least id, id) of the components of one bucket's pairs at or above the threshold, and how many pairs were looked at and computed exactly."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    n, d = x.shape
-    root, counts = np.arange(n), [0, 0]
-    _, sign, factor = code(x, turns)
-    for a in range(0, n, tile):
-        rows = np.arange(a, min(a + tile, n))
-        rotated = np.einsum("rij,nj->nri", turns, x[rows])
-        for b in range(a, n, tile):
-            cols = np.arange(b, min(b + tile, n))
-            if (root[rows] == root[rows[0]]).all():
-                cols = cols[root[cols] != root[rows[0]]]
-            if not len(cols):
-                continue
-            open_ = (rows[:, None] < cols[None, :]) & (root[rows][:, None] != root[cols][None, :])
-            est, bound = estimate(rotated, sign[cols], factor[cols])
-            counts[0] += int(open_.sum())
-            yes = open_ & (est - bound >= threshold)
-            i, j = np.nonzero(open_ & (est - bound < threshold) & (est + bound >= threshold))
-            counts[1] += len(i)
-            exact = np.einsum("ij,ij->i", x[rows[i]], x[cols[j]]) >= threshold
-            yes[i[exact], j[exact]] = True
-            for i in np.flatnonzero(yes.any(1)):
-                hit = np.r_[rows[i], cols[yes[i]]]
-                own = np.unique(root[hit])
-                root[np.isin(root, own)] = own[0]
-    child = np.flatnonzero(root != np.arange(n))
-    return ids[root[child]], ids[child], counts
+def estimate_pairs(rotated: np.ndarray, sign: np.ndarray, factor: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(estimates, bounds) of the inner products of each row of ``rotated`` with the coded vector of the same row."""
+    d, r = rotated.shape[2], rotated.shape[1]
+    est = ((rotated * sign).sum(2) / math.sqrt(d) / factor).mean(1)
+    var = ((1 - np.minimum(factor, 1) ** 2) / factor**2).sum(1)
+    spread = np.sqrt(var) / r * epsilon / math.sqrt(max(d - 1, 1))
+    low = np.clip(np.abs(est) - spread, 0, 1)
+    return est, np.sqrt(1 - low**2) * spread
+
+
+def farthest(bits: int, threshold: float) -> int:
+    """A Hamming distance of ``bits`` signs that pairs at the threshold stay below by six deviations."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p)) + 1)
+
+
+CODES = "vec_id long, keys array<long>, words array<long>, code binary, factor array<double>"
+
+
+def _codes(d: int, bits: int, wide: int, many: int, seed: int):
+    """A vector's band keys, the first ``WORDS`` words of its code, the whole code and its correction factors."""
+
+    def run(batches):
+        turns = rotations(d, many, seed)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                _, sign, factor = code(unit(matrix(part.column("v"))), turns)
+                flat = np.packbits(sign.reshape(len(sign), -1) > 0, axis=1)
+                head = np.zeros((len(flat), WORDS * 8), np.uint8)
+                head[:, : min(flat.shape[1], WORDS * 8)] = flat[:, : WORDS * 8]
+                rows = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1), kind))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), rows(band_keys(sign, bits, wide), pa.int64()), rows(head.view(np.int64), pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary()), rows(factor, pa.float64())],
+                    names=["vec_id", "keys", "words", "code", "factor"],
+                )
+
+    return run
+
+
+def _judged(d: int, many: int, seed: int, threshold: float):
+    """(a, b, sure): the pairs that their estimates don't rule out, and whether they decide them."""
+
+    def run(batches):
+        turns = rotations(d, many, seed)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE):
+                b = whole.slice(at, TILE)
+                rotated = np.einsum("rij,nj->nri", turns, unit(matrix(b.column("v"))))
+                raw = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                sign = np.unpackbits(raw, axis=1)[:, : many * d].reshape(-1, many, d).astype(np.float64) * 2 - 1
+                est, bound = estimate_pairs(rotated, sign, matrix(b.column("factor")))
+                keep = est + bound >= threshold
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(est - bound >= threshold)], names=["a", "b", "sure"]).filter(pa.array(keep))
+
+    return run
+
+
+def _exact(threshold: float):
+    def run(batches):
+        for b in batches:
+            x, y = (unit(matrix(b.column(n))) if b.num_rows else np.zeros((0, 1)) for n in ("v", "w"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(np.einsum("ij,ij->i", x, y) >= threshold))
+
+    return run
+
+
+def linked(pairs: DataFrame, rows: DataFrame, codes: DataFrame, d: int, many: int, seed: int, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) at or above the threshold: by their estimates where these decide, else computed exactly."""
+    first = pairs.join(rows.select(F.col("vec_id").alias("a"), "v").hint("merge"), "a")
+    met = first.join(codes.select(F.col("vec_id").alias("b"), "code", "factor").hint("merge"), "b")
+    judged = scratch.keep(met.select("a", "b", "v", "code", "factor").mapInArrow(_judged(d, many, seed, threshold), "a long, b long, sure boolean"), f"{name}-judged")
+    open_ = judged.where("not sure").join(rows.select(F.col("vec_id").alias("a"), "v").hint("merge"), "a").join(rows.select(F.col("vec_id").alias("b"), F.col("v").alias("w")).hint("merge"), "b")
+    exact = open_.select("a", "b", "v", "w").mapInArrow(_exact(threshold), "a long, b long")
+    return scratch.keep(judged.where("sure").select("a", "b").unionByName(exact), name)
 
 
 def near_groups(df: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, seed: int = SEED, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -122,43 +170,40 @@ def near_groups(df: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     columns, whatever their names, are not read; an empty table gives no rows.
     The search is approximate: two vectors meet if one band of their codes is
     equal. There are ``bands`` of them, or as many more as let pairs at the
-    threshold meet with a probability of ``RECALL`` among so many vectors. In a bucket the pairs inside a component already
-    found are skipped, so a bucket of copies costs their number and no square.
+    threshold meet with a probability of ``RECALL`` among so many vectors.
+
+    Only ids and band keys are shuffled to find the buckets. All members of a
+    bucket are paired with its first, so a bucket of copies costs their number;
+    where that leaves a bucket in more than one component, pairs across the
+    components are made of the members whose codes are near enough. Vectors and
+    codes are fetched for pairs alone.
     """
     spark = prepare(df.sparkSession)
     scratch = Scratch(spark, "codes")
     rows = scratch.keep(usable(df, key, vector), "vectors")
-    edges = spark.createDataFrame([], "a long, b long")
+    edges, used = spark.createDataFrame([], "a long, b long"), []
     for d, n in dimensions(rows):
         bits, wide, many = plan(n, d, threshold, bands)
-
-        def keys(batches, bits=bits, wide=wide, many=many, d=d):
-            turns = rotations(d, many, seed)
-            for b in batches:
-                for at in range(0, b.num_rows, 2000):
-                    part = b.slice(at, 2000)
-                    x = unit(matrix(part.column("v")))
-                    k = band_keys(code(x, turns)[1], bits, wide)
-                    where = np.repeat(np.arange(len(x)), k.shape[1])
-                    vec = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), d).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), part.column("vec_id").take(pa.array(where)), vec.take(pa.array(where))], names=["k", "vec_id", "x"])
-
-        cells = rows.where(F.col("d") == d).mapInArrow(keys, "k long, vec_id long, x array<double>")
-        # a bucket of one vector holds no pair, and most are such: they are dropped before the vectors are moved to Python again
-        full = cells.groupBy("k").agg(F.count("*").alias("n"), F.collect_list(F.struct("vec_id", "x")).alias("rows")).where("n > 1")
-
-        def buckets(batches, many=many, d=d):
-            turns = rotations(d, many, seed)
-            for batch in batches:
-                left, right = [], []
-                col = batch.column("rows")
-                for i in range(batch.num_rows):
-                    s = col[i].values
-                    a, b, _ = bucket_edges(s.field("vec_id").to_numpy(), matrix(s.field("x")), turns, threshold)
-                    left.append(a)
-                    right.append(b)
-                if left:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-        edges = edges.unionByName(full.select("rows").mapInArrow(buckets, "a long, b long"))
-    return components(scratch.keep(edges.distinct(), "edges"), scratch).select(F.col("node").alias("vec_id"), F.col("root").alias("keep_id"))
+        own = rows.where(F.col("d") == d)
+        codes = scratch.keep(own.mapInArrow(_codes(d, bits, wide, many, seed), CODES), "codes")
+        cells = codes.select("vec_id", F.explode("keys").alias("k"))
+        heads = cells.groupBy("k").agg(F.min("vec_id").alias("head"), F.max("vec_id").alias("last")).where("head <> last").select("k", "head")
+        members = scratch.keep(cells.join(heads.hint("merge"), "k"), "members")
+        first = members.where("vec_id <> head").select(F.col("head").alias("a"), F.col("vec_id").alias("b")).distinct()
+        near = linked(first, own, codes, d, many, seed, threshold, scratch, "edges1")
+        label = components(near, scratch)
+        named = members.join(label.hint("merge").withColumnRenamed("node", "vec_id"), "vec_id", "left").select("k", "vec_id", "head", F.coalesce("root", "vec_id").alias("root"))
+        torn = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("k")
+        open_ = named.join(torn.hint("merge"), "k").where("vec_id <> head").join(codes.select("vec_id", "words").hint("merge"), "vec_id")
+        open_ = scratch.keep(open_.select("k", "vec_id", "root", *[F.col("words")[i].alias(f"w{i}") for i in range(WORDS)]), "open")
+        x, y = open_.alias("x"), open_.alias("y")
+        signs = min(WORDS * 64, many * d)
+        apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+        cross = x.join(y, F.expr("x.k = y.k and x.vec_id < y.vec_id and x.root <> y.root") & (apart <= farthest(signs, threshold)))
+        cross = cross.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b")).distinct()
+        more = linked(cross, own, codes, d, many, seed, threshold, scratch, "edges2")
+        edges = edges.unionByName(near).unionByName(more)
+        used += [codes, members, open_, near, more]
+    out = components(scratch.keep(edges.distinct(), "edges"), scratch).select(F.col("node").alias("vec_id"), F.col("root").alias("keep_id"))
+    scratch.drop(rows, *used)
+    return out
