@@ -186,6 +186,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text[i], gone[i] = t, k
             columns["text"] = pa.array(text, pa.string())
         yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(gone)], names=[*names, "__removed"])
+        tv.trim()
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
@@ -224,6 +225,7 @@ def _part(wanted, inside: bool, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(may_hold(wanted.value, b.column(key)) == inside))
+            tv.trim()
             yield b if inside else pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int32))], names=[*b.schema.names, "__removed"])
 
     return run

@@ -7,6 +7,8 @@ is no Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,14 +62,28 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+@functools.cache
+def _trimmer():
+    """The C library's malloc_trim, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back: workers live on between stages, and would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if own := _trimmer():
+        own(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``most`` bytes of text each; no text is cut."""
+    """The batch in runs of rows of about ``most`` bytes of text each; no text is cut. After the last of them memory is given back."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    trim()
 
 
 def fold(buf: np.ndarray) -> np.ndarray:

@@ -90,6 +90,36 @@ def test_recall_of_neighbours(spark):
     assert {r["vec_id"] for r in rows} == set(range(len(x)))
 
 
+def test_probes_are_the_nearest_buckets():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20, 24))
+    assert cross_polytope.widths(10**5, 24)[1] == 0 and cross_polytope.widths(10**6, 24) == (32, 4)
+    for shape in ((32, 0), (32, 4)):
+        one = cross_polytope.signed(x, 1, 0, 32)
+        s = one if not shape[1] else (one[:, :, None] + cross_polytope.signed(x, 1, 1, 4)[:, None, :]).reshape(20, -1)
+        got = cross_polytope.probed(x, 1, shape, 17)
+        assert (got[:, :0].shape[0] == 20) and (cross_polytope.bucket(x, 1, shape) == s.argmax(1)).all()
+        assert [set(r) for r in got.tolist()] == [set(np.argsort(-r)[:17].tolist()) for r in s]
+        y = x + rng.standard_normal(x.shape) * 0.3
+        own = np.stack([s[np.arange(20), cross_polytope.bucket(y, 1, shape)]])[0]
+        assert cross_polytope.probes_needed(x, y, 2, shape).max() >= 1
+        assert ((s >= own[:, None] - 1e-12).sum(1) >= cross_polytope.probes_needed(x, y, 2, shape)).all()
+
+
+def test_blocks_and_second_rotation_lose_nothing(spark, monkeypatch):
+    x = clustered(400, 24, 5)
+    for name, value in (("LOAD", 4), ("CELL", 50), ("QUERIES", 5)):
+        monkeypatch.setattr(cross_polytope, name, value)
+    monkeypatch.setattr(cross_polytope, "widths", lambda n, d: (32, 4))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    rows = cross_polytope.neighbours(frame(spark, x), every=3).collect()
+    assert {r["vec_id"] for r in rows} == set(range(0, 400, 3))
+    want = {i: set(np.argsort(-s[i], kind="stable")[:10].tolist()) for i in range(0, 400, 3)}
+    assert sum(r["neighbour_id"] in want[r["vec_id"]] for r in rows) / (10 * len(want)) >= 0.9
+
+
 def test_of_many_equal_neighbours_the_least_ids_are_given(spark):
     rng = np.random.default_rng(8)
     x = np.r_[np.tile(rng.standard_normal(24), (60, 1)), rng.standard_normal((60, 24))]
