@@ -225,14 +225,15 @@ def _pairs(e: np.ndarray, p: np.ndarray, model: Model, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = SEED) -> Model:
-    """A model from ``per_lang`` documents of each value of column ``lang`` (those with the least hashes of doc_id); ids are chosen first, so texts of others never move."""
+    """A model from ``per_lang`` documents of each value of column ``lang`` (those with the least hashes of doc_id), their whole texts; ids are chosen first, so texts of others never move. Of rows that repeat an id and a language one counts."""
     from pyspark.sql import Window
 
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
+    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
     h = F.xxhash64("doc_id", F.lit(seed))
-    chosen = ids.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("rn") <= per_lang).select("doc_id")
-    picked = [r[0] for r in chosen.collect()]
-    rows = sorted(docs.where(F.col("doc_id").isin(picked) & F.col("lang").isNotNull()).select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"] or "")) if picked else []
+    chosen = ids.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("rn") <= per_lang).select("doc_id", "lang")
+    # at most ``per_lang`` ids a language
+    met = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sorted(met.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))
     return fit([r["text"] or "" for r in rows], [r["lang"] for r in rows], seed)
 
 
@@ -288,7 +289,7 @@ def identify(docs: DataFrame, model: Model | None = None, least: float = LEAST_S
     than ``least`` of its words. A null, empty or wordless text has language
     null, no runs, and is rejected; a null lang is not trained on; a null
     doc_id stays null; equal shares go to the language first by name; rows that
-    repeat are labelled one by one. Where no row has a language to train on, no
+    repeat are labelled one by one; a text of any length is labelled whole. Where no row has a language to train on, no
     word is labelled and all are rejected. Other columns, whatever their names, are
     not read; an empty table gives no rows. No shuffle of texts takes place.
     """
@@ -309,7 +310,12 @@ def _keep(model, least: float):
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, least: float = LEAST_SHARE) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
+    """The rows of docs that are not rejected, with all their columns.
+
+    Null, empty and wordless texts go; a null doc_id or lang changes nothing;
+    repeated rows and texts of any length are judged one by one and whole; an
+    empty table stays empty.
+    """
     spark = prepare(docs.sparkSession)
     own = spark.sparkContext.broadcast(model or train(docs))
     return docs.mapInArrow(_keep(own, least), docs.schema)

@@ -164,7 +164,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     number of documents with a token times the share of quality 1 among the
     labelled ones. A null, empty or blank text is never sampled. A null doc_id
     is a document without a label and shares one noise value; ties at the k-th
-    key are all kept; rows that repeat a doc_id are judged one by one. Without a
+    key are all kept; rows that repeat a doc_id are judged one by one; a text of
+    any length is counted and weighed whole. Without a
     usable label all documents with a token are kept. Other columns, whatever
     their names, are not read; an empty table gives no rows.
     """
@@ -183,6 +184,10 @@ def _filter(ratio, seed: int, least: float):
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, prior: float = PRIOR, most: int = MAX_TARGET_DOCS) -> DataFrame:
-    """The sampled rows of docs, with all their columns; scores are computed again, which costs less than a shuffle of the texts."""
+    """The sampled rows of docs, with all their columns; scores are computed again, which costs less than a shuffle of the texts.
+
+    Nulls, ties, repeats, long and empty texts are treated as ``resample`` says;
+    an empty table stays empty.
+    """
     ratio, _, least = _sampled(docs, labels, seed, buckets, prior, most)
     return docs.mapInArrow(_filter(ratio, seed, least), docs.schema)

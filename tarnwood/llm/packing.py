@@ -61,8 +61,8 @@ def pack(docs: DataFrame, path: str = VOCABULARY, longest: int = LONGEST) -> Dat
     """(doc_id, piece, start, bucket, tokens): the pieces of every document; tokens has 2**bucket ids, those from ``start`` on.
 
     Every token of every text is in exactly one piece. A null or empty text has
-    no pieces; a null doc_id stays null; rows that repeat a doc_id are cut one by
-    one. Other columns, whatever their names, are not read; an empty table gives
+    no pieces; a text of any length has as many of the longest pieces as fit; a
+    null doc_id stays null; rows that repeat a doc_id are cut one by one. Other columns, whatever their names, are not read; an empty table gives
     no rows. No shuffle takes place: ``write_buckets`` lays the pieces out by
     length.
     """

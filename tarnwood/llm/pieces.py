@@ -47,6 +47,8 @@ class Vocabulary:
     longest: int
     keys: np.ndarray
     values: np.ndarray
+    #: Neighbouring characters inside pieces, as sorted numbers: between others no piece reaches.
+    pairs: np.ndarray
     memo: dict = field(default_factory=dict)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -75,7 +77,19 @@ def make_vocabulary(pieces: list[bytes], score: np.ndarray, byte_id: np.ndarray)
         while values[s] >= 0:
             s = (s + 1) & ((1 << _SLOTS) - 1)
         keys[s], values[s] = h, i
-    return Vocabulary(pieces, score, byte_id, usable, max(map(len, usable)), keys, values)
+    chars = (p.decode("utf-8", "surrogatepass") for p in usable if len(p) > 1)
+    pairs = np.array(sorted({ord(a) << 21 | ord(b) for c in chars for a, b in zip(c, c[1:])}), np.int64)
+    return Vocabulary(pieces, score, byte_id, usable, max(map(len, usable)), keys, values, pairs)
+
+
+def piece_scores(raw: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the pieces that are ``live``: a unigram model's own scores, or those of ranks where the scores are minus the ranks of merges."""
+    out = np.full(len(raw), -np.inf)
+    if (raw[live] == np.round(raw[live])).all():
+        out[live] = -np.log(2 - raw[live]) - np.log(np.sum(1 / (2 - raw[live])))
+    else:
+        out[live] = raw[live]
+    return out
 
 
 @functools.lru_cache(2)
@@ -84,17 +98,16 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
-    pieces, score, byte_id = [b""] * n, np.full(n, -np.inf), np.full(256, -1)
-    rank = np.array([-sp.get_score(i) for i in range(n)])
+    pieces, byte_id = [b""] * n, np.full(256, -1)
     for i in range(n):
         if sp.is_byte(i):
             byte_id[int(sp.id_to_piece(i)[1:-1], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             pieces[i] = sp.id_to_piece(i).replace("▁", " ").encode()
-            score[i] = 1
-    live = score == 1
-    mass = np.log(np.sum(1 / (rank[live] + 2)))
-    score[live] = -np.log(rank[live] + 2) - mass
+    if (byte_id < 0).any():
+        raise ValueError("the model doesn't spell unknown characters in bytes")
+    live = np.array([bool(p) for p in pieces])
+    score = piece_scores(np.array([sp.get_score(i) for i in range(n)]), live)
     score[byte_id] = score[live].min() - 1
     for b in range(256):
         pieces[byte_id[b]] = bytes([b])
@@ -242,8 +255,25 @@ def choices(options: list[list[float]], n: int) -> list[tuple[float, tuple[int,
     return out
 
 
-def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end, first) of the words of texts, each text with a space before it; a word begins where a space follows another sign, and at and after a line break."""
+#: Words of more bytes are cut wherever no piece can reach over.
+LONG_WORD = 64
+
+
+def code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters that begin at these bytes."""
+    more = [buf[np.minimum(at + k, len(buf) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    lead = buf[at].astype(np.int64)
+    two, three, four = (lead & 0x1F) << 6 | more[0], (lead & 0x0F) << 12 | more[0] << 6 | more[1], (lead & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+    return np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [lead, two, three], four)
+
+
+def split_words(texts: list[str | None], pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, first) of the words of texts, each text with a space before it; a word begins where a space follows another sign, and at and after a line break.
+
+    With ``pairs``, the characters that can be neighbours in a piece, long words
+    are cut between all others. No segmentation is lost by that, and text
+    without spaces falls into short words.
+    """
     raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     buf = np.frombuffer(b"".join(raw), np.uint8)
     off = np.zeros(len(raw) + 1, np.int64)
@@ -255,12 +285,19 @@ def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     new[1:] = ((buf[1:] == 32) & (buf[:-1] != 32)) | (buf[1:] == 10) | (buf[:-1] == 10)
     new[off[:-1][off[:-1] < n]] = True
     starts = np.flatnonzero(new)
+    if pairs is not None:
+        size = np.diff(np.r_[starts, n])
+        at = np.flatnonzero(np.repeat(size > LONG_WORD, size) & ((buf & 0xC0) != 0x80))
+        if len(at) > 1:
+            point = code_points(buf, at)
+            new[at[1:][~np.isin(point[:-1] << 21 | point[1:], pairs)]] = True
+            starts = np.flatnonzero(new)
     return buf, starts, np.r_[starts[1:], n], np.searchsorted(starts, off)
 
 
 def encode_texts(voc: Vocabulary, texts: list[str | None], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(ids, first, score, others) of texts: others are the 2nd to n-th best as (score, [(place in ids, ids left out, ids put in)])."""
-    buf, starts, ends, first = split_words(texts)
+    buf, starts, ends, first = split_words(texts, voc.pairs)
     h = tv.hashes(buf, starts, ends)
     _, at, which = np.unique(h, return_index=True, return_inverse=True)
     width = ends[at] - starts[at]
@@ -340,7 +377,8 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
 
     ``apply_edits`` turns an edit into the ids of that segmentation; fewer are
     given where a text has fewer. Characters that are no piece are spelt in
-    bytes. Equal scores keep any order. A null or empty text has no ids, score 0
+    bytes. A text of any length is encoded whole; the work on a run without
+    spaces grows with its pieces. Equal scores keep any order. A null or empty text has no ids, score 0
     and no others; a null doc_id stays null; rows that repeat are encoded one by
     one. Other columns, whatever their names, are not read; an empty table gives
     no rows. No shuffle takes place.

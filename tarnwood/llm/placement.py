@@ -44,8 +44,9 @@ def choose(key: Column, children: dict, prefix: str) -> Column:
 def place(df: DataFrame, tree: Tree = DEFAULT, key: str = "doc_id") -> DataFrame:
     """(key, region, rack, shard) for every row.
 
-    The key is taken as a string, null as ''; equal keys, repeated rows
-    included, go to one shard. Other columns, whatever their names, are not
+    The key is taken as a string of any length, null as ''; equal keys, repeated
+    rows included, go to one shard, and equal draws to the lesser name. A key
+    column named as one of the results is given as ``key``. Other columns, whatever their names, are not
     read; an empty table gives no rows. A tree in which nothing has weight, or a
     negative weight, is an error. No shuffle takes place.
     """
@@ -54,7 +55,9 @@ def place(df: DataFrame, tree: Tree = DEFAULT, key: str = "doc_id") -> DataFrame
         raise ValueError("weights must not be negative, and one must be positive")
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     live = {r: {c: s for c, s in racks.items() if weight(s) > 0} for r, racks in tree.items() if weight(racks) > 0}
-    out = df.select(F.col(key), choose(k, live, "").alias("region"))
+    name = "key" if key in ("region", "rack", "shard") else key
+    out = df.select(F.col(key).alias(name), k.alias("__key"), choose(k, live, "").alias("region"))
+    k = F.col("__key")
     rack = F.lit(None).cast("string")
     for r, racks in live.items():
         rack = F.when(F.col("region") == r, choose(k, racks, f"{r}/")).otherwise(rack)
@@ -63,7 +66,7 @@ def place(df: DataFrame, tree: Tree = DEFAULT, key: str = "doc_id") -> DataFrame
     for r, racks in live.items():
         for c, shards in racks.items():
             shard = F.when((F.col("region") == r) & (F.col("rack") == c), choose(k, shards, f"{r}/{c}/")).otherwise(shard)
-    return out.withColumn("shard", shard)
+    return out.withColumn("shard", shard).drop("__key")
 
 
 def moved(df: DataFrame, before: Tree, after: Tree, key: str = "doc_id") -> DataFrame:

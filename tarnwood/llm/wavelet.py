@@ -208,7 +208,7 @@ def wavelet_shards(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int =
 
     Shards are made where the documents are read, without a shuffle; a shard is
     full once it has ``shard_tokens`` tokens, and the last of a partition may be
-    smaller. A null or empty text is a document of no tokens; a null doc_id is
+    smaller; a text of any length is in one shard. A null or empty text is a document of no tokens; a null doc_id is
     kept as unknown; rows that repeat a doc_id are documents of their own. Other
     columns, whatever their names, are not read; an empty table gives no rows.
     """

@@ -449,9 +449,59 @@ def test_repeated_ids_are_as_ids_of_their_own(spark):
     assert got == Counter((r["text"], r["removed"]) for r in want)
 
 
+def test_long_words_are_cut_only_where_no_piece_reaches():
+    voc = pieces.vocabulary()
+    texts = ["日本語のテキストは空白なしで書かれる文章であり長い" * 6, "x" * 200, "supercalifragilistic" * 9, "é" * 90 + "\U0001f600" * 30 + "中文字符"]
+    ids, first, score, _ = pieces.encode_texts(voc, texts)
+    monotone, pieces.LONG_WORD = pieces.LONG_WORD, 1 << 30
+    try:
+        whole, edges, want, _ = pieces.encode_texts(voc, texts)
+    finally:
+        pieces.LONG_WORD = monotone
+    assert np.allclose(score, want)
+    assert len(pieces.split_words(texts, voc.pairs)[1]) > 30
+    for d, t in enumerate(texts):
+        assert pieces.decode_ids(voc, ids[first[d] : first[d + 1]].tolist()) == t
+
+
+def test_scores_of_unigram_models_are_taken_as_they_are():
+    live = np.array([True, True, False])
+    assert np.allclose(pieces.piece_scores(np.array([-1.5, -2.25, 0.0]), live)[:2], [-1.5, -2.25])
+    ranked = pieces.piece_scores(np.array([0.0, -1.0, 0.0]), live)
+    assert np.isclose(np.exp(ranked[:2]).sum(), 1) and ranked[0] > ranked[1] and ranked[2] == -np.inf
+
+
+def test_the_sample_is_the_top_of_weights_and_noise(spark):
+    rng, words = np.random.default_rng(12), vocabulary()
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(3, 40))))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    ratio = importance.log_ratios(frame(spark, rows), importance.target_labels(labels))
+    w, _ = importance.weights(pa.array([t for _, t in rows]), ratio)
+    key = w + importance.gumbel(pa.array([i for i, _ in rows]), importance.SEED)
+    k = math.ceil(120 * 20 / 60)
+    want = {i for i, _ in sorted(zip(range(120), key), key=lambda x: -x[1])[:k]}
+    assert {r["doc_id"] for r in importance.resample(frame(spark, rows), labels).collect()} == want
+
+
+def test_a_key_may_be_named_as_a_result(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "region string")
+    got = placement.place(df, key="region").collect()
+    want = placement.place(df.withColumnRenamed("region", "doc_id")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, (tuple(r) for r in want))) and "key" in got[0].asDict()
+
+
 # 10 packing
 
 
+def test_buckets_are_folders_of_one_length(spark, tmp_path):
+    rows = [(i, "one two three four five " * (i + 1)) for i in range(9)]
+    packed = packing.pack(frame(spark, rows))
+    packing.write_buckets(packed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert all(len(r["tokens"]) == 1 << r["bucket"] for r in back.collect())
+    assert Counter(tuple(r["tokens"]) for r in back.collect()) == Counter(tuple(r["tokens"]) for r in packed.collect())
+
+
 def test_packing_is_a_partition_of_the_tokens(spark):
     got = defaultdict(list)
     rows = [(k, t) for k, (_, t) in enumerate(AWKWARD)]
