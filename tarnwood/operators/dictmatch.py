@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tarnwood.session import prepare
 
+from . import lexindex as lx
+
 MOST_PATTERNS = 2_000_000
 _WORD = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_") | frozenset(range(128, 256))
 
@@ -85,10 +86,6 @@ def word_dictionary(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     sized = patterns.select("pattern_id", T.terms("pattern").alias("p")).where(F.size("p") > 0).select("pattern_id", F.concat_ws(" ", "p").alias("gram"), F.size("p").alias("k"))
     sizes = sized.select("k").distinct()
-    t = docs.select("doc_id", T.terms("text").alias("terms")).crossJoin(F.broadcast(sizes)).where(F.size("terms") >= F.col("k"))
+    t = lx.words(docs).crossJoin(F.broadcast(sizes)).where(F.size("terms") >= F.col("k"))
     grams = F.transform(F.sequence(F.lit(1), F.size("terms") - F.col("k") + 1), lambda i: F.concat_ws(" ", F.slice("terms", i, F.col("k"))))
     return t.select("doc_id", F.explode(grams).alias("gram")).join(sized, "gram").groupBy("doc_id", "pattern_id").agg(F.count("*").alias("n"))
-
-
-def is_word_aligned(pattern: str) -> bool:
-    return re.fullmatch(r"\w+(?: \w+)*", pattern) is not None

@@ -667,7 +667,7 @@ def textrank_lead(s, d):
 @query
 def dict_match(s, d):
     t = Tables(s, d)
-    return dictmatch.match_docs(t.plain, t.asks.select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern")))
+    return dictmatch.match_docs(t.plain, t.asks.select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern"))).drop("type_id")
 
 
 @query

@@ -43,6 +43,9 @@ def _leg(name: str, pairs: str, post: str, w: float, beta: bool) -> dict[str, st
     }
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDY = r"[A-Za-z0-9_]|[^\x00-\x7F]"
+
 CTE: dict[str, str] = {
     "docs": "select doc_id, coalesce(text, '') as text from documents",
     "asks": "select item_id as query_id, coalesce(text, '') as text from benchmark",
@@ -159,6 +162,12 @@ CTE: dict[str, str] = {
     "wins": "select doc_id, x || lead(x) over w || lead(x, 2) over w as g3, x || lead(x) over w || lead(x, 2) over w || lead(x, 3) over w as g4, x || lead(x) over w || lead(x, 2) over w || lead(x, 3) over w || lead(x, 4) over w as g5 from byts window w as (partition by doc_id order by i)",
     "bgrams": "select doc_id, g3 as gram, 3 as k from wins where g3 is not null union all select doc_id, g4, 4 from wins where g4 is not null union all select doc_id, g5, 5 from wins where g5 is not null",
     "dt": "select doc_id, list_distinct(t) as t from w",
+    "pats": f"select min(query_id) as pid, p from (select query_id, {_FOLD.format('text')} as p from asks where text <> '') group by p",
+    "occ": f"select doc_id, pid, p, f, parts, unnest(range(1, len(parts))) as k from (select doc_id, pid, p, f, string_split(f, p) as parts from (select doc_id, {_FOLD.format('text')} as f from docs) join pats on contains(f, p))",
+    "spot": "select doc_id, pid, p, substr(f, 1, c) as pre, substr(f, c + 1 + length(p)) as post from (select *, (list_sum(list_transform(parts[1 : k], lambda x: length(x))) + (k - 1) * length(p))::bigint as c from occ)",
+    "hits": f"select doc_id, pid, strlen(pre)::int as b, (strlen(pre) + strlen(p))::int as e from spot where not (pre <> '' and regexp_matches(right(pre, 1), '{_WORDY}') and regexp_matches(left(p, 1), '{_WORDY}')) and not (post <> '' and regexp_matches(left(post, 1), '{_WORDY}') and regexp_matches(right(p, 1), '{_WORDY}'))",
+    "seq": "select *, row_number() over (partition by doc_id order by b, e desc, pid) as n from hits",
+    "picks": "select doc_id, n, pid, b, e, true as taken, e as upto from seq where n = 1 union all select s.doc_id, s.n, s.pid, s.b, s.e, s.b >= p.upto, case when s.b >= p.upto then s.e else p.upto end from picks p join seq s on s.doc_id = p.doc_id and s.n = p.n + 1",
     "lns": "select doc_id, i, l[i] as line, regexp_replace(l[i], '^[ \\t\\x0B\\f\\r]*[0-9. ]*', '') as bare from (select doc_id, l, unnest(range(1, least(16, len(l)) + 1)) as i from (select doc_id, string_split(substr(text, 1, 16384), chr(10)) as l from docs))",
     "lnh": "select *, regexp_matches(bare, '[A-Za-z]') and len(regexp_extract_all(bare, '[^ \\t\\x0B\\f\\r]+')) <= 8 and (not regexp_matches(bare, '[a-z]') or strlen(bare) < 80) as header from lns",
     "lnp": "select *, coalesce(bool_or(header) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), false) as past, coalesce(sum(case when line <> '' and not header then length(line) + 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) - 1 as before from lnh",
@@ -180,7 +189,7 @@ def with_(final: str) -> str:
             need.add(name)
             todo.append(CTE[name])
     parts = ",\n".join(f"{k} as ({CTE[k]})" for k in CTE if k in need)
-    return f"with {parts}\n{final}" if parts else final
+    return f"with {'recursive ' if 'picks' in need else ''}{parts}\n{final}" if parts else final
 
 
 def ranking(source: str, k: int = 10) -> str:
@@ -188,7 +197,6 @@ def ranking(source: str, k: int = 10) -> str:
 
 
 _SENT = "list_filter(list_transform(regexp_split_to_array(text, '[.!?]+|\\n\\n'), lambda s: regexp_replace(s, '^[\\x01-\\x20]+|[\\x01-\\x20]+$', '', 'g')), lambda s: s <> '')"
-_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SUFFIX = "[A-Za-z](?:" + "|".join(BIOMEDICAL_SUFFIXES) + ")$"
 
 
@@ -269,6 +277,7 @@ def statements() -> dict[str, str]:
         "adc_fixed": "select q.vec_id as query_id, c.vec_id, round(sum(list_sum(list_transform(list_zip(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as l2, round(sum(list_dot_product(list_slice(q.e, c.mi * 8 + 1, c.mi * 8 + 8), b.c)), 6) as ip from v q, codes c join books b on b.mi = c.mi and b.ki = c.ki where q.vec_id % 50 = 0 group by q.vec_id, c.vec_id",
         "pq_decode": "select vec_id, (mi * 8 + i)::int as dim, round(c[i + 1], 6) as x from codes join books using (mi, ki), range(0, 8) r(i)",
         "dict_match_words": "select doc_id, pattern_id, count(*) as n from (select doc_id, pattern_id, w.t as t, q.t as p, unnest(range(1, len(w.t) - len(q.t) + 2)) as i from (select *, ' ' || array_to_string(t, ' ') || ' ' as line from w) w join (select query_id as pattern_id, t, ' ' || array_to_string(t, ' ') || ' ' as line from qw where len(t) > 0) q on contains(w.line, q.line)) where t[i : i + len(p) - 1] = p group by all",
+        "dict_match": "select doc_id, pid as pattern_id, b as begin, e as end from picks where taken",
         "scientific": f"select query_id, rank, doc_id, round(score, 6) as score from ({_top('sci', 10)})",
         "concept_digest": f"select count(*) as rows, {_digest('term', 'round(pmi * 1e6)::bigint', 'round(idf * 1e6)::bigint', 'df', 'ttf')} as digest from concepts",
         "fixture_digest": f"select 'documents' as part, count(*) as rows, {_digest('doc_id', 'text')} as digest from documents union all select 'queries', count(*), {_digest('item_id', 'text')} from benchmark",
