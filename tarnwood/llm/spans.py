@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> Da
     """
     spans = scratch.keep(docs.select(key, "text").mapInArrow(_spans(key), "key long, hit long, h long, again boolean"), "spans")
     firsts = spans.groupBy("h").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least")
-    later = spans.join(scratch.keep(firsts, "firsts"), "h").where("again or key > least")
+    later = spans.join(scratch.keep(firsts, "firsts").hint("merge"), "h").where("again or key > least")
     return later.groupBy("key").agg(F.collect_set("hit").alias("hits"))
 
 
@@ -265,6 +265,7 @@ def without_spans(docs: DataFrame) -> DataFrame:
     hits = hits.select(F.col("key").alias("__id"), F.col("hits").alias("__hits"))
     out = T.StructType([*rows.schema.fields, T.StructField("__removed", T.IntegerType())])
     touched = rows.mapInArrow(_part(wanted, True, key), rows.schema)
-    joined = touched.join(hits, touched[key] == hits["__id"], "left").drop("__id")
+    # both sides grow with the input; and the shuffle between the two Python steps keeps a task at one worker
+    joined = touched.join(hits.hint("merge"), touched[key] == F.col("__id"), "left").drop("__id")
     done = rows.mapInArrow(_part(wanted, False, key), out).union(joined.mapInArrow(_cut, out))
     return done.select(*docs.columns, "__removed")
