@@ -81,11 +81,19 @@ def match_docs(docs: DataFrame, patterns: DataFrame, fold: bool = True, whole_wo
 
 
 def word_dictionary(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, pattern_id, n): patterns of whole words by an equi-join on word n-grams, for dictionaries too large to share."""
+    """(doc_id, pattern_id, n): how often patterns of whole words occur, overlaps included, for dictionaries too large to share.
+
+    Places are found by an equi-join on a pattern's first two words (or its
+    only one), and only there the words that follow are compared.
+    """
     from tarnwood.functions import text as T
 
-    sized = patterns.select("pattern_id", T.terms("pattern").alias("p")).where(F.size("p") > 0).select("pattern_id", F.concat_ws(" ", "p").alias("gram"), F.size("p").alias("k"))
-    sizes = sized.select("k").distinct()
-    t = lx.words(docs).crossJoin(F.broadcast(sizes)).where(F.size("terms") >= F.col("k"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("terms") - F.col("k") + 1), lambda i: F.concat_ws(" ", F.slice("terms", i, F.col("k"))))
-    return t.select("doc_id", F.explode(grams).alias("gram")).join(sized, "gram").groupBy("doc_id", "pattern_id").agg(F.count("*").alias("n"))
+    rows = lx.words(docs)
+    sized = patterns.select("pattern_id", T.terms("pattern").alias("p")).where(F.size("p") > 0).withColumn("lead", F.concat_ws(" ", F.slice("p", 1, 2)))
+    long_, short = sized.where("size(p) > 1"), sized.where("size(p) = 1")
+    one = rows.select("doc_id", F.posexplode("terms").alias("pos", "lead"))
+    two = rows.select("doc_id", F.posexplode(T.ordered_bigrams(F.col("terms"))).alias("pos", "lead"))
+    whole = one.join(short.select("lead", "pattern_id"), "lead").select("doc_id", "pattern_id")
+    begun = two.join(long_.select("lead", "pattern_id"), "lead").select("doc_id", "pos", "pattern_id")
+    met = begun.join(long_.select("pattern_id", "p"), "pattern_id").join(rows, "doc_id").where(F.slice("terms", F.col("pos") + 1, F.size("p")) == F.col("p"))
+    return whole.unionByName(met.select("doc_id", "pattern_id")).groupBy("doc_id", "pattern_id").agg(F.count("*").alias("n"))
