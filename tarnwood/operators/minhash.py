@@ -39,7 +39,7 @@ def densify(slots: np.ndarray, seed: int = 0) -> np.ndarray:
         rows = np.flatnonzero(out[:, i] == EMPTY)
         if not len(rows):
             continue
-        places = ((i + turns * step) & 0xFFFFFFFF) % k
+        places = ((U(i) + turns.astype(U) * U(step)) & U(0xFFFFFFFF)).astype(np.int64) % k
         filled = out[rows][:, places] != EMPTY
         r = filled.argmax(1)
         lent = out[rows, places[r]].astype(U) << U(32) | turns[r].astype(U)
