@@ -36,6 +36,11 @@ def candidates(docs: DataFrame, stats: DataFrame, top: int = 4, terms: int = 8,
     """(doc_id, place, kind, text, sig map<string,double>): ranked sentences, and the document under place 0 with twice the terms. A sentence without a signature is dropped."""
     parts = ranked_sentences(docs, top, position).select("doc_id", "place", F.lit("sentence").alias("kind"), F.col("sentence").alias("text"))
     parts = parts.unionByName(docs.select("doc_id", F.lit(0).alias("place"), F.lit("document").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+    return signed(parts, stats, terms)
+
+
+def signed(parts: DataFrame, stats: DataFrame, terms: int = 8) -> DataFrame:
+    """``parts(doc_id, place, kind, text)`` with their signatures; the document, at place 0, has twice the terms."""
     keyed = parts.withColumn("fid", F.struct("doc_id", "place"))
     own = keyed.select(F.col("fid").alias("doc_id"), T.terms("text").alias("terms"))
     sig = strategies.signatures(own, stats, 2 * terms)
@@ -88,7 +93,8 @@ def choose(sigs: list[dict], anchors: int, builder: str = "rich_covered", senten
                     kept.append(i)
             left = list(range(base, n))
         while left:
-            value = {i: salience[i] - redundancy * (o := worst(i, kept)) - max(0.0, o - cap(i)) for i in left}
+            # rounded, so that a value of 0 doesn't depend on the order of sums
+            value = {i: round(salience[i] - redundancy * (o := worst(i, kept)) - max(0.0, o - cap(i)), 12) for i in left}
             best = max(left, key=lambda i: (value[i], -i))
             if value[best] < (least_sentence if best < base else least_anchor):
                 break
@@ -145,8 +151,14 @@ def build(docs: DataFrame, stats: DataFrame, config: embed.EncoderConfig = embed
         encoded = sif_vectors(parts.withColumn("terms", T.terms("text")), table, None, carry=("place", "sig"))
     else:
         encoded = embed.encode(parts, config, carry=("place", "sig"))
+    return gathered(encoded, builder, terms, **caps)
+
+
+def gathered(encoded: DataFrame, builder: str = "rich_covered", terms: int = 8, **caps) -> DataFrame:
+    """(doc_id, frag_idx, kind, vec, sig) of candidates ``encoded(doc_id, place, vec, sig)``: a document's few meet in one row, and those that the builder chooses stay."""
     rows = encoded.groupBy("doc_id").agg(F.collect_list(F.struct("place", "vec", "sig")).alias("parts"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    prepare(encoded.sparkSession)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, frag_idx int, kind string, vec array<double>, sig map<string,double>"
 
     def run(batches):

@@ -414,6 +414,65 @@ def tabulation_words(s, d):
     return _families(s, d, "tabulation").where("length(term) <= 256")
 
 
+# the choice of fragments, from first sentences with given vectors
+
+
+def _choice_sql(builder: str) -> str:
+    from tarnwood.operators.strategies import STOPWORDS
+
+    from .oracle import _SENT, WORDS, _quoted
+
+    head = f"""st as (select doc_id, i as place, s[i] as txt from (select doc_id, s, unnest(range(1, least(4, len(s)) + 1)) as i from (select doc_id, {_SENT} as s from docs))),
+pt as (select * from st union all select doc_id, 0, text from docs),
+pw as (select distinct doc_id, place, unnest({WORDS.format('txt')}) as term from pt),
+sg as (select doc_id, place, term, weight, rn from (select *, row_number() over (partition by doc_id, place order by round(weight, 9) desc, term) as rn from (select doc_id, place, term, greatest(0.25::double, coalesce(idf, 0)) as weight from pw left join ts using (term) where length(term) >= 3 and term not in ({_quoted(STOPWORDS)}))) where rn <= case when place = 0 then 16 else 8 end),
+ns as (select doc_id, count(distinct place) filter (where place > 0) as m from sg group by doc_id),
+it as (select doc_id, dense_rank() over (partition by doc_id order by place)::int as o, 'sentence' as kind, term, weight from sg where place > 0
+  union all select doc_id, (m + 1)::int, 'centroid', term, weight from sg join ns using (doc_id) where place = 0 and rn <= 8 and m >= 2 {"and false" if builder == "basic" else ""}
+  union all select doc_id, (m + case when m >= 2 then 2 else 1 end)::int, 'document', term, weight from sg join ns using (doc_id) where place = 0 {"and m = 0 and rn <= 8" if builder == "basic" else ""}),
+nm as (select doc_id, o, any_value(kind) as kind, sum(weight) as total from it group by doc_id, o),
+sz as (select doc_id, max(o) as n, case when max(o) >= 2 then max(o) - 2 else max(o) end as base from nm group by doc_id),
+ovl as (select a.doc_id, a.o as i, b.o as j, coalesce(c, 0) / greatest(1e-6, least(a.total, b.total)) as v from nm a join nm b on a.doc_id = b.doc_id left join (select x.doc_id, x.o as i, y.o as j, sum(least(x.weight, y.weight)) as c from it x join it y on x.doc_id = y.doc_id and x.term = y.term group by all) s on s.doc_id = a.doc_id and s.i = a.o and s.j = b.o),
+mat as (select doc_id, n, base, list(v order by i, j) as m, list_transform(range(1, n + 1), lambda i: case when i <= base then 1 - (case when base > 1 then 0.35::double / (base - 1) else 0 end) * (i - 1) when i = base + 1 then 0.72::double else 0.60::double end) as sal from ovl join sz using (doc_id) group by doc_id, n, base)"""
+    worst = "coalesce(list_max(list_transform(kept, lambda k: m[(k - 1) * n + {i}])), 0)"
+    cap = "case when {i} <= base then 0.6::double else 0.9::double end"
+    if builder in ("basic", "rich"):
+        return _also(head, "select doc_id, (o - 1)::int as frag_idx, kind from nm")
+    if builder == "rich_covered":
+        walk = f"""go(doc_id, step, kept) as (select doc_id, 0, []::int[] from mat union all select g.doc_id, step + 1, case when len(kept) = 0 or {worst.format(i='(step + 1)')} <= {cap.format(i='step + 1')} then list_append(kept, (step + 1)::int) else kept end from go g join mat using (doc_id) where step < n)"""
+        last = "go.step = mat.n"
+    elif builder == "rich_budgeted":
+        side = "len(list_filter(kept, lambda k: (k > base) = (step + 1 > base))) < case when step + 1 <= base then 4 else 1 end"
+        walk = f"""go(doc_id, step, kept) as (select doc_id, 0, []::int[] from mat union all select g.doc_id, step + 1, case when {side} and (len(kept) = 0 or 1 - {worst.format(i='(step + 1)')} >= 0.2::double) then list_append(kept, (step + 1)::int) else kept end from go g join mat using (doc_id) where step < n)"""
+        last = "go.step = mat.n"
+    else:
+        start = "select doc_id, 0, []::int[], list_transform(range(1, n + 1), lambda i: i::int) from mat"
+        if builder == "rich_asymmetric":
+            head = "" + head + f""", cov(doc_id, step, kept) as (select doc_id, 0, []::int[] from mat union all select g.doc_id, step + 1, case when len(kept) = 0 or {worst.format(i='(step + 1)')} <= 0.6::double then list_append(kept, (step + 1)::int) else kept end from cov g join mat using (doc_id) where step < base)"""
+            start = "select mat.doc_id, 0, kept, list_transform(range(base + 1, n + 1), lambda i: i::int) from mat join cov on cov.doc_id = mat.doc_id and cov.step = base"
+        value = f"list_transform(lft, lambda i: round(sal[i] - 0.5::double * {worst.format(i='i')} - greatest(0, {worst.format(i='i')} - ({cap.format(i='i')})), 12))"
+        walk = f"""go(doc_id, step, kept, lft) as ({start} union all select doc_id, step + 1, list_append(kept, lft[list_position(vals, list_max(vals))]), list_filter(lft, lambda i: i <> lft[list_position(vals, list_max(vals))]) from (select g.*, {value} as vals from go g join mat using (doc_id) where len(lft) > 0) where list_max(vals) >= 0)"""
+        last = "true"
+    final = f"select nm.doc_id, (list_position(kept, o) - 1)::int as frag_idx, kind from (select go.doc_id, case when len(kept) = 0 then [1]::int[] else kept end as kept from go join mat using (doc_id) where {last} qualify row_number() over (partition by go.doc_id order by go.step desc) = 1) k join nm on nm.doc_id = k.doc_id and list_contains(kept, o)"
+    return _recursive(_also(f"{head}, {walk}", final))
+
+
+def _choosing(builder: str) -> None:
+    def run(s, d):
+        t = _tables(s, d)
+        parts = t.plain.select("doc_id", F.posexplode(T.sentences("text", 4)).alias("place", "text")).select("doc_id", (F.col("place") + 1).alias("place"), F.lit("sentence").alias("kind"), "text")
+        parts = parts.unionByName(t.plain.select("doc_id", F.lit(0).alias("place"), F.lit("document").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+        held = fragments.signed(parts, t.term_stats).withColumn("vec", F.array(*[F.lit(1.0), F.length("text").cast("double")]))
+        return fragments.gathered(held, builder).select("doc_id", "frag_idx", "kind")
+
+    run.__name__ = f"choose_{builder}"
+    _late(lambda: _choice_sql(builder))(run)
+
+
+for _builder in ("basic", "rich", "rich_covered", "rich_mmr", "rich_asymmetric", "rich_budgeted"):
+    _choosing(_builder)
+
+
 def statements() -> dict[str, str]:
     return SQL | {k: make() for k, make in LATE.items()}
 
