@@ -101,6 +101,68 @@ def test_rarest_tokens_of_near_sets_meet():
             assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), (a, b)
 
 
+def brute_links(rows, t=0.55):
+    """(least of the group, number of near documents) of each document that has one; rows that repeat an id are one document."""
+    g = {}
+    for i, x in rows:
+        g.setdefault(i, set()).update(grams(x or ""))
+    near = {i: [j for j in g if j != i and g[i] and g[j] and len(g[i] & g[j]) >= t * len(g[i] | g[j]) - 1e-9] for i in g}
+    root = {i: i for i in g}
+    while True:
+        new = {i: min([root[i], *(root[j] for j in near[i])]) for i in g}
+        if new == root:
+            return {i: (root[i], len(near[i])) for i in g if near[i]}
+        root = new
+
+
+def links(df, **more):
+    return {r["doc_id"]: (r["keep_id"], r["links"]) for r in parity_join.near_groups(df, **more).collect()}
+
+
+def test_links_equal_brute_force(spark, monkeypatch):
+    rows = corpus(7, 30, 6)
+    # rows that repeat an id, one of them a copy of another document
+    rows += [(3, rows[0][1]), (40, rows[40][1]), (41, "a few more words"), (1000, rows[5][1])]
+    want = brute_links(rows)
+    assert links(frame(spark, rows)) == want
+    monkeypatch.setattr(parity_join, "TILE", 2)
+    monkeypatch.setattr(parity_join, "POSTINGS", 500)
+    assert links(frame(spark, rows), wide=2) == want
+    assert max(n for _, n in want.values()) >= 6
+
+
+def test_pairs_without_a_common_block_are_found(spark):
+    """Two pairs at the threshold of 16 and 29 grams, of which blocks with tokens share none."""
+    rows = [(10 * k + j, " ".join(f"w{seed}x{i}" for i in range(size))) for k, seed in enumerate((54827, 59608)) for j, size in enumerate((18, 31))]
+    for k in (0, 2):
+        *_, first, h = textvec.words(pa.array([t for _, t in rows[k : k + 2]]))
+        doc, key, _ = parity_join.block_keys(*textvec.shingles(h, first, 3), 0.55)
+        assert not set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
+    assert links(frame(spark, rows)) == {0: (0, 1), 1: (0, 1), 10: (10, 1), 11: (10, 1)}
+
+
+def test_wide_buckets_are_cut_without_loss():
+    rng = np.random.default_rng(17)
+    key, doc, size = rng.integers(0, 40, 600).astype(np.uint32), rng.integers(0, 90, 600), rng.integers(50, 60, 90)
+    rank = np.zeros(600, np.int64)
+    want = {tuple(sorted((a, b))) for k in range(40) for a in doc[key == k].tolist() for b in doc[key == k].tolist() if a != b}
+    for wide in (1, 3, 1000):
+        got = np.concatenate(list(parity_join.met(key, doc, rank, size, 0.55, wide)))
+        assert {(c // 90, c % 90) for c in got.tolist()} == want
+
+
+def test_documents_of_many_slices_keep_their_ids():
+    """A part may hold more documents than a posting's 16 bits can tell apart; slices count their own."""
+    slices = 3
+    heads, entries = np.zeros((slices, 40_000), parity_join.HEAD), np.zeros((slices, 40_000), parity_join.POSTING)
+    heads["id"], heads["size"] = np.arange(slices * 40_000).reshape(slices, -1), 20
+    entries["doc"], entries["key"] = np.arange(40_000), np.arange(slices * 40_000).reshape(slices, -1)
+    entries["key"][2, -1] = 7
+    rows = pa.RecordBatch.from_pydict({"part": [0] * slices, "docs": [x.tobytes() for x in heads], "entries": [x.tobytes() for x in entries]})
+    got = [r for b in parity_join._meet(0.55, 1024)(iter([rows])) for r in b.to_pylist()]
+    assert got == [{"a": 7, "b": 119_999}]
+
+
 def test_one_of_each_keeps_the_least(spark):
     rows = corpus(1, 20)
     groups = brute_groups(rows)
