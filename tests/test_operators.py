@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,19 @@ def test_manifests():
     assert experiments.as_int("0x10") == 16 and experiments.as_bool("on") is True
 
 
+def test_spearman_keeps_rows_whose_values_are_never_computed_alike(spark):
+    """Sums in another order differ in their last bits; each run of this table gives other values."""
+
+    def noisy(batches):
+        rng = np.random.default_rng()
+        for b in batches:
+            i = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(i + rng.random(len(i)) / 2), pa.array(-i - rng.random(len(i)) / 2)], names=["x", "y"])
+
+    got = evaluate.spearman(spark.range(60).mapInArrow(noisy, "x double, y double"), "x", "y").first()
+    assert got["n"] == 60 and abs(got["rho"] + 1) < 1e-12
+
+
 def test_policies():
     experiments.check_policy("exploration", "dev", 5)
     experiments.check_policy("frozen", "test", 1, "run 3")
