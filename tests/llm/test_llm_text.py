@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -163,6 +164,78 @@ def test_documents_of_many_slices_keep_their_ids():
     assert got == [{"a": 7, "b": 119_999}]
 
 
+def test_many_buckets_of_one_width_lose_no_pair():
+    """Buckets of one width that make more pairs than are looked at at once: later blocks were made of the first one's places."""
+    buckets, wide = 14, 600
+    key, doc = np.repeat(np.arange(buckets), wide).astype(np.uint32), np.arange(buckets * wide)
+    i, j = np.triu_indices(wide, 1)
+    want = (np.arange(buckets)[:, None] * wide + i).ravel() * len(doc) + (np.arange(buckets)[:, None] * wide + j).ravel()
+    got = list(parity_join.met(key, doc, np.zeros(len(doc), np.int64), np.full(len(doc), 50), 0.55))
+    assert np.array_equal(np.unique(np.concatenate(got)), np.unique(want))
+
+
+def test_meeting_takes_few_bytes_an_entry():
+    """79 bytes an entry, and several parts in a task, took executors beyond their memory."""
+    rng, slices, docs, per = np.random.default_rng(41), 50, 400, 20_000
+    heads, entries = np.zeros((slices, docs), parity_join.HEAD), np.zeros((slices, per), parity_join.POSTING)
+    heads["id"], heads["size"] = np.arange(slices * docs).reshape(slices, -1), 300
+    entries["doc"] = np.repeat(np.arange(docs), per // docs)
+    entries["key"] = rng.integers(1 << 20, 1 << 32, (slices, per), dtype=np.uint32)
+    entries["key"][:, : per // 10] = rng.integers(0, 20_000, (slices, per // 10))
+    rows = pa.RecordBatch.from_pydict({"part": [0] * slices, "docs": [x.tobytes() for x in heads], "entries": [x.tobytes() for x in entries]})
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in parity_join._meet(0.55, 1024)(iter([rows])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found and most < 40 * slices * per
+
+
+def test_each_part_is_met_in_a_task_of_its_own(spark, monkeypatch):
+    def parts(batches):
+        own = [x for b in batches for x in b.column("part").to_pylist()]
+        once = [1] * len(own[:1])
+        yield pa.RecordBatch.from_pydict({"a": own[:1], "b": [len(set(own))] * len(once), "n": once, "least": once}, pa.schema({"a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "least": pa.int32()}))
+
+    monkeypatch.setattr(parity_join, "_meet", lambda *_: parts)
+    rows = spark.range(64).selectExpr("cast(id % 16 as int) as part", "binary('') as docs", "binary('') as entries")
+    assert {(r["a"], r["b"]) for r in parity_join.candidates(rows, 16, 0.55, 1024).collect()} == {(k, 1) for k in range(16)}
+
+
+def test_near_sets_share_as_many_rarest_tokens_as_they_must():
+    """With as few common tokens as near sets can have, wherever those are in the order; some pairs share no more than the least."""
+    rng, spare = np.random.default_rng(43), []
+    for _ in range(4000):
+        a = int(rng.integers(1, 60))
+        b = int(rng.integers(a, int(a / 0.55 + 1e-9) + 1))
+        c = next(c for c in range(1, a + 1) if c >= 0.55 * (a + b - c) - 1e-9)
+        x = np.sort(rng.integers(0, 2**63, a + b - c, dtype=np.uint64))
+        # the load makes common tokens rare, frequent or neither
+        common = rng.choice(len(x), c, replace=False) if rng.random() < 0.3 else np.arange(c)
+        own = np.setdiff1d(np.arange(len(x)), common)
+        load = np.zeros(1 << 12, np.int64)
+        load[(x[common] & np.uint64(4095)).astype(int)] = rng.integers(0, 5)
+        load[(x[own[: a - c]] & np.uint64(4095)).astype(int)] = rng.integers(0, 5)
+        sets = [np.sort(np.r_[x[common], x[own[: a - c]]]), np.sort(np.r_[x[common], x[own[a - c :]]])]
+        doc, key, _ = parity_join.prefixes(np.concatenate(sets), np.array([0, a, a + b]), load, 0.55)
+        shared = len(set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()))
+        spare.append(shared - int(parity_join.least_shared(np.array(a), np.array(b), 0.55)))
+    assert min(spare) == 0
+
+
+def test_pairs_that_share_too_few_rarest_tokens_are_no_candidates(spark):
+    """Two texts of one topic with a passage in common, far from near copies; a pair of near ones in which it stands too."""
+    same = " ".join(f"s{i}" for i in range(12))
+    rows = [(k, f"{same} " + " ".join(f"w{k}x{i}" for i in range(40))) for k in range(4)]
+    rows += [(9, rows[3][1] + " more")]
+    n = 3
+    docs = frame(spark, rows).select("doc_id", "text")
+    load = spark.sparkContext.broadcast(np.zeros(1 << 10, np.int8))
+    postings = docs.mapInArrow(parity_join._rows(parity_join._postings(n, load, 8, 0.55)), "part int, docs binary, entries binary")
+    assert [tuple(r) for r in parity_join.candidates(postings, 8, 0.55, 1024).collect()] == [(3, 9)]
+
+
 def test_one_of_each_keeps_the_least(spark):
     rows = corpus(1, 20)
     groups = brute_groups(rows)
