@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tarnwood.llm import entries, tokens
+from tarnwood.llm import entries, parity_join, tokens
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
@@ -31,6 +31,32 @@ def test_stages_keep_columns_and_only_remove(spark):
     assert {i: tokens.decode(t) for i, t in whole.items()} == texts
 
 
+def test_near_duplicates_meets_one_part_a_task(spark, monkeypatch):
+    real = parity_join._meet
+
+    def alone(*args):
+        run = real(*args)
+
+        def checked(batches):
+            seen = set()
+
+            def watched():
+                for b in batches:
+                    seen.update(b.column("part").to_pylist())
+                    assert len(seen) == 1, seen
+                    yield b
+
+            yield from run(watched())
+
+        return checked
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()
+    monkeypatch.setattr(parity_join, "_meet", alone)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()
+    assert sorted(got) == sorted(want) and got
+
+
 def test_run_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
