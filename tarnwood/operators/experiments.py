@@ -167,10 +167,11 @@ def _moments(vectors: DataFrame) -> DataFrame:
 
 def calibrate(vectors: DataFrame, moments: DataFrame, kind: str = "standardise", shrink: float = 0.5) -> DataFrame:
     """Unit vectors with each coordinate centred, or divided by its deviation shrunk towards the mean one."""
-    met = vectors.crossJoin(F.broadcast(moments))
     level = F.aggregate("sd", F.lit(0.0), lambda s, x: s + x) / F.size("sd")
-    inverse = F.transform("sd", lambda s: 1 / (F.lit(shrink) * level + F.lit(1 - shrink) * s + 1e-9)) if kind == "standardise" else F.transform("sd", lambda s: F.lit(1.0))
-    out = V.l2_normalize(V.affine(F.col("vec"), F.col("mean"), inverse)) if kind != "none" else V.l2_normalize(F.col("vec"))
+    inverse = V.let(level, lambda m: F.transform("sd", lambda s: 1 / (F.lit(shrink) * m + F.lit(1 - shrink) * s + 1e-9))) if kind == "standardise" else F.transform("sd", lambda s: F.lit(1.0))
+    # of one row, made before it meets the vectors
+    met = vectors.crossJoin(F.broadcast(moments.select("mean", inverse.alias("inverse"))))
+    out = V.l2_normalize(V.affine(F.col("vec"), F.col("mean"), F.col("inverse"))) if kind != "none" else V.l2_normalize(F.col("vec"))
     return met.withColumn("vec", out).select(*vectors.columns)
 
 
@@ -181,14 +182,16 @@ def coordinate_search(queries: DataFrame, docs: DataFrame, prefix: int, mode: st
     cosine for queries whose two best prefix cosines are within ``margin``.
     Coordinates are calibrated on the documents.
     """
-    m = _moments(docs)
-    q, x = calibrate(queries, m, kind), calibrate(docs, m, kind)
+    docs = keep(docs, "vectors")
+    m = keep(_moments(docs), "moments")
+    q, x = keep(calibrate(queries, m, kind), "asked"), keep(calibrate(docs, m, kind), "calibrated")
     cut = lambda df: df.withColumn("vec", V.prefix_normalize(F.col("vec"), prefix))
     if mode == "full":
         return evaluate.exact_dense(q, x, k).drop("rank")
     short = evaluate.exact_dense(cut(q), cut(x), k).drop("rank")
     if mode == "fixed":
         return short
+    short = keep(short, "short")
     pool = short.join(q.withColumnRenamed("vec", "qv"), "query_id").join(x.withColumnRenamed("vec", "dv"), "doc_id")
     full = V.dot(F.col("qv"), F.col("dv"))
     if mode == "blend":

@@ -56,14 +56,15 @@ def features(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query_id").join(out, "query_id", "left").fillna(0, names)
 
 
-def pool_features(scores: DataFrame, queries: DataFrame, docs: DataFrame, n_terms: DataFrame, k: int = 50, other: DataFrame | None = None) -> DataFrame:
+def pool_features(scores: DataFrame, queries: DataFrame, docs: DataFrame, n_terms: DataFrame, k: int = 50, other: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
     """One row a query from its best k scores, unmatched documents counting as 0: decay, normalised_var, nqc, wig, entropy, and the overlap with the best k of ``other``.
 
-    Statistics over the corpus come from sums, so no score is made for unmatched documents.
+    Statistics over the corpus come from sums, so no score is made for unmatched documents. Where
+    ``sums(query_id, s)`` of all scores are given, ``scores`` and ``other`` need only hold the best k.
     """
     n = docs.agg(F.count("*").alias("n"))
     best = rankers.top_dense(scores, queries, docs, k)
-    mean_all = queries.select("query_id").join(scores.groupBy("query_id").agg(F.sum("score").alias("s")), "query_id", "left").crossJoin(F.broadcast(n)).select("query_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("corpus_mean"))
+    mean_all = queries.select("query_id").join(scores.groupBy("query_id").agg(F.sum("score").alias("s")) if sums is None else sums.select("query_id", "s"), "query_id", "left").crossJoin(F.broadcast(n)).select("query_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("corpus_mean"))
     own = Window.partitionBy("query_id")
     e = F.exp(F.col("score") - F.max("score").over(own))
     p = best.withColumn("p", e / F.sum(e).over(own))
